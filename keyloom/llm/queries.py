@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.exact_dedup import content_groups
 
@@ -19,6 +32,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(docs).select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.storage import scratch
+    from keyloom.llm.token_files import read_documents, write_token_files
+
+    path = scratch(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer())
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.chat import chat_windows, read_windows
 
