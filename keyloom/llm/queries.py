@@ -60,7 +60,43 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The present layout that op8 starts from: shards by a hash of the source.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.sharding import read_shards, reshard
+    from keyloom.llm.storage import scratch
+
+    path = scratch(spark, "shards")
+    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    reshard(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, NEW_SHARDS, old, OLD_SHARDS)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    narrow = spark.read.parquet(path).select("doc_id", "size", crc.alias("text_crc32"), "h", "shard")
+    return read_shards(spark, path, narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.storage import scratch
+    from keyloom.llm.warc import read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path)
+
+
 SQL = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        g AS (SELECT t, max(page_id) AS keep, sha1(t) AS h FROM p GROUP BY t),
+        v AS (SELECT t, keep, list_transform(range(0, 8), lambda i: ('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT) AS q FROM g),
+        e AS (SELECT t, keep, array_to_string(list_transform(range(0, 32), lambda k:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((q[CAST(k // 4 + 1 AS BIGINT)] >> (15 - 5 * (k % 4))::INTEGER) & 31) AS BIGINT), 1)), '') AS d FROM v)
+        SELECT page_id, strlen(t) AS payload_bytes, d AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM p JOIN e USING (t)
+    """,
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
