@@ -54,12 +54,14 @@ def content_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         salts = F.broadcast(spark.createDataFrame(hot, "h long, salts int"))
         base = base.join(salts, "h", "left").withColumn("s", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     else:
-        base = base.withColumn("s", F.lit(0)).withColumn("salts", F.lit(None).cast("int"))
+        base = base.withColumn("salts", F.lit(None).cast("int"))
+    # A constant salt would hide from the planner that the ranges hold whole groups.
+    key = ["p", "h", *(["s"] if hot else [])]
 
     order = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
-    run = Window.partitionBy("p", "h", "s", "t").orderBy(order)
+    run = Window.partitionBy(*key, "t").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = base.repartitionByRange(n, "p", "h", "s").select(
+    local = base.repartitionByRange(n, *key).select(
         "o", "no_text", "id", "t", "salts",
         F.first("id").over(run).alias("run_keep"),
         F.row_number().over(run).alias("rn"),
