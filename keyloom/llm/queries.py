@@ -76,6 +76,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path, narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.decontamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.storage import scratch
     from keyloom.llm.warc import read_warc, write_warc
@@ -86,6 +95,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op9_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        q AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS g
+            FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(s) WHERE len(w) > 0),
+        p AS (SELECT doc_id, s, m, array_to_string(w[s : s + m - 1], ' ') AS g
+            FROM d, (SELECT DISTINCT m FROM q), unnest(range(1, len(w) - m + 2)) AS u(s)),
+        h AS (SELECT p.doc_id, p.s, p.m, q.item_id FROM p JOIN q ON p.g = q.g AND p.m = q.m),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM h, unnest(range(s, s + m)) AS u(k) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM h GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         g AS (SELECT t, max(page_id) AS keep, sha1(t) AS h FROM p GROUP BY t),
