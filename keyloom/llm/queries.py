@@ -41,6 +41,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.chat import chat_windows, read_windows
 
@@ -95,6 +101,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(s)),
+        m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+        h AS (SELECT DISTINCT doc_id, k FROM g JOIN m USING (g), unnest(range(s, s + 13)) AS u(k) WHERE doc_id > least),
+        a AS (SELECT doc_id, list(k) AS gone FROM h GROUP BY doc_id),
+        f AS (SELECT doc_id, w, gone, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN a USING (doc_id))
+        SELECT doc_id, len(w) AS n_words, len(w) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM f
+    """,
     "op9_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
