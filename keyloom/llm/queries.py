@@ -66,6 +66,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 #: The present layout that op8 starts from: shards by a hash of the source.
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
