@@ -18,6 +18,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.packing import pack
 
@@ -108,6 +114,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + least(len(w), 4) - 1], ' ') AS g FROM d, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS u(s) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.doc_id WHERE r.root < b.y)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY ALL
+    """,
     "op5_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(s)),
