@@ -72,7 +72,7 @@ class Words:
         return (np.arange(len(self)) + n <= ends)[: max(0, len(self) - n + 1)]
 
 
-def batches(column, most: int = 2 << 20):
+def batches(column, most: int = 1 << 20):
     """(first row, texts) of an Arrow binary column in parts of about `most` bytes."""
     texts, size, at = [], 0, 0
     for k in range(0, len(column), 256):

@@ -31,10 +31,12 @@ from keyloom.llm.grams import SPACE, Words, batches, mix
 from keyloom.llm.storage import materialize, partitions
 
 N, PERCENT = 4, 85
-#: 64-bit words of a bitmap; members of a tile; counters of the frequency sketch.
+#: Least 64-bit words of a bitmap; members of a tile; counters of the frequency sketch.
 BITMAP, TILE, SKETCH = 16, 4096, 1 << 18
 #: Most candidate ids (of 8 bytes) that are broadcast to fetch their texts.
 SMALL = 200_000
+#: Set members that are compared in one step.
+CHUNK = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], n: int = N):
@@ -76,6 +78,26 @@ def bitmaps(h: np.ndarray, first: np.ndarray, words: int = BITMAP) -> np.ndarray
     return out
 
 
+def width(n: np.ndarray) -> np.ndarray:
+    """Words of the bitmap of a set of n: a power of two that gives two bits a member or more."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).clip(0).astype(np.int64), BITMAP, 1024)
+
+
+def own_bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each set's bitmap, as long as width() says."""
+    size = np.diff(first)
+    words = width(size)
+    out: list[bytes] = [b""] * len(size)
+    for w in np.unique(words):
+        rows = np.flatnonzero(words == w)
+        for k in range(0, len(rows), max(1, (1 << 16) // w)):
+            some = rows[k : k + max(1, (1 << 16) // w)]
+            part = np.concatenate([h[first[r] : first[r + 1]] for r in some])
+            for r, m in zip(some, bitmaps(part, np.concatenate([[0], np.cumsum(size[some])]), int(w)), strict=True):
+                out[r] = m.tobytes()
+    return out
+
+
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of n with any partner."""
     return (percent * n + 99) // 100
@@ -89,7 +111,7 @@ def frequency_sketch(docs: DataFrame, n: int, slots: int = SKETCH) -> np.ndarray
 
         total = np.zeros(slots, np.int64)
         for b in parts:
-            for _, texts in batches(b.column("text"), 4 << 20):
+            for _, texts in batches(b.column("text")):
                 w = Words(texts, SPACE, lower=True)
                 h = w.grams(n)[w.room(n)]
                 total += np.bincount((h >> np.uint64(40)).astype(np.int64) % slots, minlength=slots)
@@ -134,9 +156,8 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
             for at, texts in batches(b.column("text")):
                 h, first = shingle_sets(texts, n)
                 name, size = set_names(h, first), np.diff(first)
-                maps = bitmaps(h, first)
                 null = pa.nulls(len(texts), pa.binary())
-                yield pa.record_batch([pa.array(name % parts), null, null, ids.slice(at, len(texts)), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array([m.tobytes() for m in maps], pa.binary())], names=names)
+                yield pa.record_batch([pa.array(name % parts), null, null, ids.slice(at, len(texts)), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(own_bitmaps(h, first), pa.binary())], names=names)
                 row = np.repeat(np.arange(len(texts)), size)
                 order = np.lexsort((mix(h), classes[(h >> np.uint64(40)).astype(np.int64) % slots], row))
                 rank = np.arange(len(h)) - np.repeat(first[:-1], size)
@@ -189,7 +210,7 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
             if key not in seen:
                 seen[key] = m
                 held += k
-            if held > 1 << 20:
+            if held > 1 << 17:
                 yield rows()
                 seen, held = {}, 0
         if seen:
@@ -255,10 +276,34 @@ def can_link(n_i, b_i, n, b, percent: int) -> np.ndarray:
     return (100 + percent) * overlap >= percent * (n + n_i)
 
 
-def candidate_forest(n: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+class Folded:
+    """Bitmaps of several lengths, sorted by set size, that are compared at the shorter's length.
+
+    Lengths are powers of two, so the two halves of a bitmap, laid over each other, are the
+    bitmap of half the length. Partners' sizes differ too little for more than one halving.
+    """
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) // 8 for m in maps])
+        self.at: dict[int, tuple[int, np.ndarray]] = {}
+        for w in np.unique(self.words).tolist():
+            a, z = np.searchsorted(self.words, w), np.searchsorted(self.words, w, "right")
+            own = np.frombuffer(b"".join(maps[a:z]), np.uint64).reshape(z - a, w)
+            y = np.searchsorted(self.words, 2 * w, "right")
+            longer = np.frombuffer(b"".join(maps[z:y]), np.uint64).reshape(y - z, 2 * w)
+            self.at[w] = int(a), np.concatenate([own, longer[:, :w] | longer[:, w:]])
+
+    def rows(self, js: np.ndarray, i: int):
+        """The bitmaps of rows js, and of i, in the length of the first of js."""
+        a, maps = self.at[int(self.words[js[0]])]
+        return maps[js - a], maps[i - a]
+
+
+def candidate_forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
     """A spanning forest (pairs of row numbers) of the pairs that sizes and bitmaps allow."""
     order = np.argsort(n, kind="stable")
-    n, maps = n[order], maps[order]
+    n = n[order]
+    folded = Folded([maps[k] for k in order])
     forest, out = Forest(len(n)), []
     low = np.searchsorted(n, needed(n, percent))
     for i in range(1, len(n)):
@@ -266,7 +311,8 @@ def candidate_forest(n: np.ndarray, maps: np.ndarray, percent: int) -> list[tupl
         js = js[forest.root[js] != forest.root[i]]
         if not len(js):
             continue
-        js = js[can_link(n[i], maps[i], n[js], maps[js], percent)]
+        b, own = folded.rows(js, i)
+        js = js[can_link(n[i], own, n[js], b, percent)]
         if len(js):
             # One pair for each component that it joins.
             js = js[np.unique(forest.root[js], return_index=True)[1]]
@@ -279,9 +325,11 @@ def exact_components(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarr
     """The root (a row number) of each set among the sets whose links connect it."""
     size = np.diff(first)
     order = np.argsort(size, kind="stable")
-    maps = bitmaps(h, first)[order]
+    # Longer sets get longer bitmaps here, where they needn't be sent.
+    maps = bitmaps(h, first, min(256, max(BITMAP, 1 << int(size.max(initial=1) // 16).bit_length())))[order]
     kinds, code = np.unique(h, return_inverse=True)
-    flag = np.zeros(len(kinds) + 1, np.int64)
+    code = code.astype(np.int32)
+    flag = np.zeros(len(kinds) + 1, np.uint8)
     n = size[order]
     start = np.concatenate([[0], np.cumsum(n)])
     code = np.concatenate([code[first[r] : first[r + 1]] for r in order]) if len(order) else code
@@ -296,9 +344,17 @@ def exact_components(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarr
             continue
         own = code[start[i] : start[i + 1]]
         flag[own] = 1
-        # The overlaps of all candidates: their sorted arrays against the marked one.
-        at = np.repeat(start[js], n[js]) + np.arange(n[js].sum()) - np.repeat(np.cumsum(n[js]) - n[js], n[js])
-        overlap = np.add.reduceat(flag[code[at]], np.cumsum(n[js]) - n[js])
+        # The overlaps of all candidates, some at a time: their sorted arrays against the marked one.
+        overlap = np.empty(len(js), np.int64)
+        ends = np.cumsum(n[js])
+        at = 0
+        while at < len(js):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - n[js[at]] + CHUNK, side="right")))
+            k = n[js[at:stop]]
+            edge = np.cumsum(k) - k
+            place = np.repeat(start[js[at:stop]] - edge, k) + np.arange(k.sum())
+            overlap[at:stop] = np.add.reduceat(flag[code[place]], edge, dtype=np.int64)
+            at = stop
         flag[own] = 0
         links = js[(100 + percent) * overlap >= percent * (n[js] + n[i])]
         if len(links):
@@ -331,7 +387,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
 
         u, v = [], []
         for names, sizes, maps in by_tile(batches_in, ["name", "n", "bitmap"]):
-            for i, j in candidate_forest(np.array(sizes), np.frombuffer(b"".join(maps), np.uint64).reshape(len(names), -1), percent):
+            for i, j in candidate_forest(np.array(sizes), maps, percent):
                 u.append(names[i])
                 v.append(names[j])
             if len(u) > 1 << 16:
