@@ -52,19 +52,24 @@ def _split_levels(df: DataFrame, view: Column, key: str, pos: str, cfg: Config,
     zero = F.lit(0).cast("long")
     if not big:
         return df.withColumns({"b1": zero, "b2": zero}), ["b0", "b1", "b2"]
-    child = zero
+    spark = df.sparkSession
+    cuts = []
     for b in big:
         mask = b.vbm & u64.MASK64
-        down = max(0, mask.bit_length() - cfg.msd_bits)
-        child = F.when(F.col("b0") == b.bucket, u64.digit(view, down, min(cfg.msd_bits, max(1, mask.bit_length())))).otherwise(child)
-    df = df.withColumn("b1", child)
-    sizes = df.filter(F.col("b0").isin([b.bucket for b in big])).groupBy("b0", "b1").agg(F.count(F.lit(1)).alias("n"), F.bit_or(key).alias("o"), F.bit_and(key).alias("a"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
+        cuts.append((b.bucket, max(0, mask.bit_length() - cfg.msd_bits), u64.low_mask(min(cfg.msd_bits, max(1, mask.bit_length())))))
+    df = df.join(F.broadcast(spark.createDataFrame(cuts, "b0 long, __down int, __mask long")), "b0", "left")
+    digit = F.call_function("shiftrightunsigned", view, F.col("__down")).bitwiseAND(F.col("__mask"))
+    df = df.withColumn("b1", F.coalesce(digit, zero)).drop("__mask")
+    sizes = df.filter(F.col("__down").isNotNull()).groupBy("b0", "b1").agg(F.count(F.lit(1)).alias("n"), F.bit_or(key).alias("o"), F.bit_and(key).alias("a"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
     hot = sizes.filter((F.col("n") > limit) & (F.col("o") == F.col("a"))).collect()  # fewer than SHARE rows
-    part = zero
-    for h in hot:
-        step = max(1, -(-(h.hi - h.lo + 1) // max(1, h.n // limit + 1)))
-        part = F.when((F.col("b0") == h.b0) & (F.col("b1") == h.b1), F.floor((F.col(pos) - h.lo) / step).cast("long")).otherwise(part)
-    return df.withColumn("b2", part), ["b0", "b1", "b2"]
+    df = df.drop("__down")
+    if not hot:
+        return df.withColumn("b2", zero), ["b0", "b1", "b2"]
+    steps = [(h.b0, h.b1, h.lo, max(1, -(-(h.hi - h.lo + 1) // (h.n // limit + 1)))) for h in hot]
+    df = df.join(F.broadcast(spark.createDataFrame(steps, "b0 long, b1 long, __lo long, __step long")), ["b0", "b1"], "left")
+    part = F.coalesce(F.floor((F.col(pos) - F.col("__lo")) / F.col("__step")).cast("long"), zero)
+    df = df.withColumn("b2", part).drop("__lo", "__step")
+    return df, ["b0", "b1", "b2"]
 
 
 def bucket_sort_positions(df: DataFrame, key: str, pos: str, unsigned: bool = True, cfg: Config = Config()) -> DataFrame:

@@ -31,7 +31,7 @@ class Mode:
 
 def _s(rank: str, count: int) -> str:
     """The SQL of an order-preserving spread."""
-    return f"(({rank}) * {1 << spread_shift(count)}::UHUGEINT)" if count > 1 else "0::UHUGEINT"
+    return f"((({rank}) * {1 << spread_shift(count)}::UHUGEINT) % {1 << 64}::UHUGEINT)" if count > 1 else "0::UHUGEINT"
 
 
 def _masked(bits: int, high: int = 0):
