@@ -32,7 +32,7 @@ from keyloom.llm.storage import materialize, partitions
 
 N, PERCENT = 4, 85
 #: Least 64-bit words of a bitmap; members of a tile; counters of the frequency sketch.
-BITMAP, TILE, SKETCH = 16, 4096, 1 << 18
+BITMAP, TILE, SKETCH = 16, 1024, 1 << 18
 #: Most candidate ids (of 8 bytes) that are broadcast to fetch their texts.
 SMALL = 200_000
 #: Set members that are compared in one step.
