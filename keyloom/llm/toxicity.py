@@ -7,7 +7,7 @@ near an insult or threat binds to it) and are composed into one deterministic ma
 counts the kinds of clauses it accepts. The weights of the kinds come from a logistic
 regression on the labelled rows of the training folds. The insult lexicon is given words and
 the word beginnings whose presence in the training rows goes with the label; their counts
-cover all training rows.
+cover all rows of the bounded sample that the model is fitted to.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.storage import materialize
+
 #: Seed words of the lexicons.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
 THREATS = "kill hurt destroy shoot stab strangle burn beat".split()
@@ -29,8 +31,9 @@ REPORTS = "said says wrote writes claimed claims called calls quoted reported".s
 #: Lengths of learned word beginnings (32: whole words), least log likelihood ratio against
 #: the label's overall rate, and most beginnings kept.
 STEMS, EVIDENCE, LEXICON = (4, 5, 6, 32), 16.0, 4096
-#: Bound on the training rows that the regression sees, taken by a hash of doc_id.
-SAMPLE = 20_000
+#: Bound on the labelled rows that the model is fitted to, taken by a hash of doc_id; their
+#: ids and labels are broadcast, so the corpus isn't shuffled.
+SAMPLE = 40_000
 #: Words that a negation or a report governs, and that a target reaches.
 REACH = 3
 
@@ -217,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    some = known.orderBy(F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(sample)
+    rows = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id"), "labelled")
     stems = learned_stems(rows)
-    some = rows.orderBy(F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(sample) if known.count() > sample else rows
-    got = _counted(some.select("toxic", "text"), Lexicon(stems)).collect()  # `sample` rows of a few numbers
+    got = _counted(rows.select("toxic", "text"), Lexicon(stems)).collect()  # a few numbers for each row of the sample
     y = np.array([r.toxic for r in got], float)
     if len(set(y.tolist())) < 2:
         return stems, DEFAULT
