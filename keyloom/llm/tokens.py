@@ -10,18 +10,32 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
-import numpy as np
-
-MEMO = 400_000
+MEMO = 700_000
 #: Characters of one slice of a long text.
 SLICE = 1 << 20
-_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
-_odd = re.compile(r" \s|\s |^ | $")
+#: Pieces of these characters fall apart into runs of letters, of digits, of signs and single
+#: line ends, whatever stands around them; an apostrophe may start a contraction.
+_plain = re.compile(r"(\0?)(?:[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]|\n(?!\n))+")
+_runs = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+_odd = re.compile(r"\s\s")
 _safe = re.compile(r"(?<=\S) (?=\S)")
 _open: dict = {}
 
 
+def _visible() -> dict[int, str]:
+    """The printable characters that byte-level models use for bytes: those that are printable
+    stand for themselves, the others follow from 256 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+_byte = _visible()
+_chars = {c: "".join(_byte[b] for b in c.encode()) for c in map(chr, [*range(0x20, 0x7F), 0x0A, *range(0xC0, 0x100)])}
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -35,25 +49,40 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
+        #: Ids of what follows a space, and, with a zero byte before it, of what begins a text.
+        self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, lists: list[list[str]]) -> None:
-        if len(self.spaced) > MEMO:
-            self.spaced.clear()
-        if len(self.bare) > MEMO:
-            self.bare = {"": b""}
-        new = set().union(*(x[1:] for x in lists)).difference(self.spaced)
-        joined = {y: m.groups() for y in new if (m := _plain.fullmatch(y))}
-        cores = list({c for c, _ in joined.values() if c not in self.spaced} | (new - joined.keys()))
-        self.spaced.update(zip(cores, self._ids([f" {c}" for c in cores]), strict=True))
-        bare = list(({x[0] for x in lists} | {t for _, t in joined.values()}).difference(self.bare))
-        self.bare.update(zip(bare, self._ids(bare), strict=True))
-        for y, (core, tail) in joined.items():
-            self.spaced[y] = self.spaced[core] + self.bare[tail]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that are one run of _plain characters each, straight from the model."""
+        model, chars, out = self.tok.model.tokenize, _chars.__getitem__, []
+        space = _chars[" "]
+        for y in words:
+            core = y[1:] if y[0] == "\0" else y
+            shown = core if core.isascii() and core != "\n" else "".join(map(chars, core))
+            out.append(array("I", [t.id for t in model(shown if y[0] == "\0" else space + shown)]).tobytes())
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        memo = self.memo
+        runs, single, other = {}, set(), []
+        for y in new:
+            if not (m := _plain.fullmatch(y)):
+                other.append(y)
+                continue
+            r = _runs.findall(y)
+            r = [f"\0{r[0]}" if m[1] else r[0], *[f"\0{x}" for x in r[1:]]]
+            if len(r) > 1:
+                runs[y] = r
+            single.update(r)
+        todo = list(single.difference(memo))
+        memo.update(zip(todo, self._words(todo), strict=True))
+        memo.update(zip(other, self._ids([y[1:] if y[:1] == "\0" else f" {y}" for y in other]), strict=True))
+        get = memo.__getitem__
+        for y, r in runs.items():
+            memo[y] = b"".join(map(get, r))
 
     def _slices(self, text: str):
         at = 0
@@ -72,21 +101,32 @@ class Encoder:
 
         def flush():
             nonlocal held, size
-            lists = [x for _, x in held]
-            self._learn(lists)
-            spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
-            for more, x in held:
-                ids = b"".join([bare(x[0]), *map(spaced, x[1:])])
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            get = self.memo.get
+            found = [list(map(get, x)) for _, x in held]
+            holes = [[k for k, v in enumerate(r) if v is None] for r in found]
+            self._learn({x[k] for (_, x), h in zip(held, holes, strict=True) for k in h})
+            for (more, x), r, h in zip(held, found, holes, strict=True):
+                for k in h:
+                    r[k] = get(x[k])
                 if more:
-                    out[-1] += ids
+                    out[-1] += b"".join(r)
                 else:
-                    out.append(ids)
+                    out.append(b"".join(r))
             held, size = [], 0
 
         for text in texts:
+            if "\0" in text:
+                flush()
+                out += self._ids([text])
+                continue
             for k, s in enumerate(self._slices(text)):
-                # A later slice begins with its space: an empty first piece stands before it.
-                held.append((k > 0, _safe.split(s) if k == 0 and _odd.search(s) else ["", *_safe.split(s[1:])] if k else s.split(" ")))
+                whole = s[1:] if k else s  # a later slice begins with its space
+                x = _safe.split(whole) if _odd.search(whole) or whole[:1] == " " or whole[-1:] == " " else whole.split(" ")
+                if not k:
+                    x[0] = f"\0{x[0]}"
+                held.append((k > 0, x))
                 size += len(s)
                 if size >= SLICE:
                     flush()
