@@ -50,7 +50,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
 Suffixes are the windows of 13 words from each word on. A group is named by the window's
-rarest-looking prefix gram, the 5-gram with the least hash among those that begin in it (a
+rarest-looking prefix gram, the 7-gram with the least hash among those that begin in it (a
 minimiser), so that the overlapping suffixes of a passage go to one group and its words are
 sent once. Groups whose gram begins in one document only can't hold a repeat; a first pass
 that sends a hash and a doc_id a gram leaves them out. What is left is dealt out by gram into
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from keyloom.llm.grams import Words, batches
 from keyloom.llm.storage import materialize, partitions
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
+#: Segments that a task gathers before it sends them on.
+HELD = 1 << 16
 #: Suffixes that are sorted in one step; larger groups are split by longer prefixes first.
 STEP = 1 << 20
 
@@ -48,8 +50,85 @@ def buckets(spark, n_bytes: int) -> int:
     return max(partitions(spark), n_bytes // (8 << 20))
 
 
+def pack_texts(rows: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text) and z, the text compressed for the way."""
+
+    def run(batches_in):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches_in:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                z = pa.array([squeeze(t) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("key"), z], names=["doc_id", "key", "z"])
+
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, z binary")
+
+
+def unpacked(column, most: int = 1 << 20):
+    """(first row, texts) of a column of compressed texts, in parts of about `most` bytes."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    texts, size, at = [], 0, 0
+    for z in column:
+        t = expand(z.as_py())
+        texts.append(t)
+        size += len(t)
+        if size >= most:
+            yield at, texts
+            at, texts, size = at + len(texts), [], 0
+    if texts:
+        yield at, texts
+
+
+def to_documents(pa, parts: int, doc: np.ndarray, key: np.ndarray, *data: np.ndarray):
+    """Columns (part, docs, keys, counts, then data) with a row for each part of documents.
+
+    What belongs to one document and key is next to each other; counts says how much it is.
+    """
+    order = np.lexsort((key, doc, doc % parts))
+    doc, key, data = doc[order], key[order], [x[order] for x in data]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, int)
+    counts = np.diff(np.append(first, len(doc)))
+    ids, keys = doc[first], key[first]
+    edges = np.searchsorted(ids % parts, np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(edges))
+    ends = np.append(first, len(doc))
+    blob = lambda x, a: pa.array([x[a[k] : a[k + 1]].tobytes() for k in some], pa.binary())
+    return [pa.array(some), blob(ids, edges), blob(keys, edges), blob(counts, edges), *(blob(x, ends[edges]) for x in data)]
+
+
+def gathered(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
+    """One row for each document and key: doc_id, key and its data (packed), from to_documents()."""
+
+    def run(batches_in):
+        import pyarrow as pa
+
+        held: list[list[bytes]] = [[] for _ in range(3 + len(columns))]
+        for b in batches_in:
+            for x, c in zip(held, ["docs", "keys", "counts", *columns], strict=True):
+                x += b.column(c).to_pylist()
+        if not held[0]:
+            return
+        ids, keys, counts, *data = (np.frombuffer(b"".join(x), np.int64) for x in held)
+        doc, key = np.repeat(ids, counts), np.repeat(keys, counts)
+        order = np.lexsort((key, doc))
+        doc, key, data = doc[order], key[order], [x[order] for x in data]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+        edges = np.append(first, len(doc))
+        for k in range(0, len(first), 4096):
+            js = range(k, min(k + 4096, len(first)))
+            yield pa.record_batch([pa.array(doc[first[k : k + 4096]]), pa.array(key[first[k : k + 4096]]), *(pa.array([x[edges[j] : edges[j + 1]].tobytes() for j in js], pa.binary()) for x in data)], names=["doc_id", "key", *columns])
+
+    return rows.repartition(parts, "part").mapInArrow(run, f"doc_id long, key long, {', '.join(f'{c} binary' for c in columns)}")
+
+
 def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     """doc_id and grams (their hashes, packed) that begin in two or more documents."""
+    names = ["part", "docs", "keys", "counts", "grams", "many"]
 
     def ship(batches_in):
         import pyarrow as pa
@@ -74,35 +153,28 @@ def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataF
             last = np.concatenate([first[1:], [True]]) if len(h) else first
             many = ~(first & last)
             # Grams of several documents of this batch are settled; one row tells the others.
-            yield from packed(pa, h[many], d[many], None)
-            send = first
-            part = (h[send] % np.uint64(parts)).astype(np.int64)
+            null = lambda n: pa.nulls(n, pa.binary())
+            done = to_documents(pa, parts, d[many], np.zeros(many.sum(), np.int64), h[many].view(np.int64))
+            yield pa.record_batch([*done, null(len(done[0]))], names=names)
+            part = (h[first] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            hp, dp, mp, pp = h[send][order], d[send][order], many[send][order], part[order]
+            hp, dp, mp, pp = h[first][order], d[first][order], many[first][order], part[order]
             edges = np.searchsorted(pp, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges))
-            yield pa.record_batch([pa.array(some), pa.array([hp[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()), pa.array([dp[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()), pa.array([np.packbits(mp[edges[k] : edges[k + 1]]).tobytes() for k in some], pa.binary()), pa.nulls(len(some), pa.int64())], names=["part", "hashes", "docs", "many", "doc_id"])
-
-    def packed(pa, h, d, part):
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-        ids, at = np.unique(d, return_index=True)
-        edges = np.append(at, len(d))
-        for k in range(0, len(ids), 4096):
-            js = range(k, min(k + 4096, len(ids)))
-            yield pa.record_batch([pa.array([int(ids[j]) % parts for j in js]), pa.array([h[edges[j] : edges[j + 1]].tobytes() for j in js], pa.binary()), pa.nulls(len(js), pa.binary()), pa.nulls(len(js), pa.binary()), pa.array(ids[k : k + 4096])], names=["part", "hashes", "docs", "many", "doc_id"])
+            blob = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())  # noqa: E731, B023
+            bits = pa.array([np.packbits(mp[edges[k] : edges[k + 1]]).tobytes() for k in some], pa.binary())
+            yield pa.record_batch([pa.array(some), blob(dp), null(len(some)), null(len(some)), blob(hp), bits], names=names)
 
     def settle(batches_in):
         import pyarrow as pa
 
         held: list[tuple[bytes, bytes, bytes]] = []
-        names = ["doc_id", "grams"]
         for b in batches_in:
-            done = b.filter(b.column("doc_id").is_valid())
+            done = b.filter(b.column("counts").is_valid())
             if done.num_rows:
-                yield pa.record_batch([done.column("doc_id"), done.column("hashes")], names=names)
-            rest = b.filter(b.column("doc_id").is_null())
-            held += zip(*(rest.column(c).to_pylist() for c in ("hashes", "docs", "many")), strict=True)
+                yield done.select(names[:-1])
+            rest = b.filter(b.column("counts").is_null())
+            held += zip(*(rest.column(c).to_pylist() for c in ("grams", "docs", "many")), strict=True)
         if not held:
             return
         h = np.frombuffer(b"".join(x[0] for x in held), np.uint64)
@@ -114,12 +186,12 @@ def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataF
         size = np.diff(np.append(first, len(h)))
         spread = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(m, first)
         keep = np.repeat(spread, size) & ~m
-        for b in packed(pa, h[keep], d[keep], None):
-            yield pa.record_batch([b.column("doc_id"), b.column("hashes")], names=names)
+        yield pa.record_batch(to_documents(pa, parts, d[keep], np.zeros(keep.sum(), np.int64), h[keep].view(np.int64)), names=names[:-1])
 
-    rows = docs.mapInArrow(ship, "part long, hashes binary, docs binary, many binary, doc_id long")
-    found = rows.repartition(parts, "part").mapInArrow(settle, "doc_id long, grams binary")
-    return found.groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+    kind = "part long, docs binary, keys binary, counts binary, grams binary"
+    rows = docs.mapInArrow(ship, f"{kind}, many binary")
+    found = rows.repartition(parts, "part").mapInArrow(settle, kind)
+    return gathered(found, parts, ["grams"]).select("doc_id", "grams")
 
 
 def sorted_nodes(codes: np.ndarray, docs: np.ndarray, depth: int, step: int = STEP) -> np.ndarray:
@@ -163,43 +235,29 @@ def sorted_nodes(codes: np.ndarray, docs: np.ndarray, depth: int, step: int = ST
 
 
 def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """doc_id, key and places: the first words of windows that a smaller doc_id also has.
+    """doc_id, key, at and bits (packed): bit k of bits tells that the window at + k is repeated.
 
-    candidates has doc_id, key (a hash of the text), text and grams (its repeated grams).
+    candidates has doc_id, key, z (pack_texts) and grams (its repeated grams).
     """
-    names = ["part", "docs", "keys", "at", "bits", "lengths", "words", "doc_id", "key"]
-    kind = "part long, docs binary, keys binary, at binary, bits binary, lengths binary, words binary, doc_id long, key long"
-
-    def mark(pa, doc, key, at, bits):
-        """Rows of a document's settled windows: bit k of bits is the window at + k."""
-        order = np.lexsort((at, key, doc))
-        doc, key, at, bits = doc[order], key[order], at[order], bits[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, int)
-        edges = np.append(first, len(doc))
-        for k in range(0, len(first), 4096):
-            js = range(k, min(k + 4096, len(first)))
-            null = pa.nulls(len(js), pa.binary())
-            yield pa.record_batch([pa.array([int(doc[edges[j]]) % parts for j in js]), null, null, pa.array([at[edges[j] : edges[j + 1]].tobytes() for j in js], pa.binary()), pa.array([bits[edges[j] : edges[j + 1]].tobytes() for j in js], pa.binary()), null, null, pa.array(doc[first[k : k + 4096]]), pa.array(key[first[k : k + 4096]])], names=names)
+    names = ["part", "docs", "keys", "counts", "at", "bits", "lengths", "words"]
+    kind = "part long, docs binary, keys binary, counts binary, at binary, bits binary"
 
     def ship(batches_in):
         import pyarrow as pa
 
+        held, count = [], 0
         for b in batches_in:
             ids, keys, grams = b.column("doc_id").to_numpy(), b.column("key").to_numpy(), b.column("grams")
-            doc_l, key_l, at_l, n_l, hash_l, seg_l, name_l = [], [], [], [], [], [], []
-            for at, texts in batches(b.column("text")):
+            for at, texts in unpacked(b.column("z")):
                 w = Words(texts)
                 g, place, whole = minimisers(w, window, gram)
                 owner = w.doc()
-                known = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in grams.slice(at, len(texts)).to_pylist()]
+                known = [np.unique(np.frombuffer(x, np.uint64)) for x in grams.slice(at, len(texts)).to_pylist()]
                 i = np.flatnonzero(whole)
-                if not len(i):
-                    continue
                 # Whether the window's gram is among its document's repeated ones.
-                of = owner[i]
-                salt = np.concatenate([x ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k, x in enumerate(known)]) if known else np.empty(0, np.uint64)
-                hit = np.isin(g[place[i]] ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), salt)
-                i = i[hit]
+                salt = np.arange(len(texts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                wanted = np.concatenate([x ^ y for x, y in zip(known, salt, strict=True)])
+                i = i[np.isin(g[place[i]] ^ salt[owner[i]], wanted)]
                 if not len(i):
                     continue
                 p = place[i]
@@ -209,67 +267,78 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
                 d = owner[a]
                 data = w.bytes
                 lo, hi = w.start[a].tolist(), w.end[a + n + window - 2].tolist()
-                seg_l += [b" ".join(data[x:y].split()) for x, y in zip(lo, hi, strict=True)]
-                doc_l.append(ids[at + d])
-                key_l.append(keys[at + d])
-                at_l.append(a - w.first[d])
-                n_l.append(n)
-                hash_l.append(g[p[run]])
-            if not doc_l:
-                continue
-            doc, key, at, n, h = (np.concatenate(x) for x in (doc_l, key_l, at_l, n_l, hash_l))
-            # Of equal segments, that of the smallest document is sent, the others are settled.
-            least: dict[bytes, int] = {}
-            for j in np.argsort(doc, kind="stable").tolist():
-                least.setdefault(seg_l[j], j)
-            head = np.array([least[s] for s in seg_l])
-            done = doc > doc[head]
-            yield from mark(pa, doc[done], key[done], at[done].astype(np.int64), ((1 << n[done]) - 1).astype(np.int64))
-            send = np.flatnonzero(~done)
-            part = (h[send] % np.uint64(parts)).astype(np.int64)
-            send = send[np.argsort(part, kind="stable")]
-            part = np.sort(part)
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                js = send[edges[k] : edges[k + 1]]
-                rows.append((k, doc[js].tobytes(), key[js].tobytes(), at[js].astype(np.int64).tobytes(), None, n[js].astype(np.int64).tobytes(), b"\n".join([seg_l[j] for j in js]), None, None))
-            kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
+                held.append((ids[at + d], keys[at + d], a - w.first[d], n, g[p[run]], [b" ".join(data[x:y].split()) for x, y in zip(lo, hi, strict=True)]))
+                count += len(a)
+                if count >= HELD:
+                    yield from send(pa, held)
+                    held, count = [], 0
+        if held:
+            yield from send(pa, held)
+
+    def send(pa, held):
+        doc, key, at, n, h = (np.concatenate([x[k] for x in held]) for k in range(5))
+        segments = [s for x in held for s in x[5]]
+        # Of equal segments, that of the smallest document is sent, the others are settled.
+        least: dict[bytes, int] = {}
+        for j in np.argsort(doc, kind="stable").tolist():
+            least.setdefault(segments[j], j)
+        done = doc > doc[np.array([least[s] for s in segments])]
+        cols = to_documents(pa, parts, doc[done], key[done], at[done].astype(np.int64), ((1 << n[done]) - 1).astype(np.int64))
+        yield pa.record_batch([*cols, pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.binary())], names=names)
+        rest = np.flatnonzero(~done)
+        part = (h[rest] % np.uint64(parts)).astype(np.int64)
+        rest = rest[np.argsort(part, kind="stable")]
+        edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            js = rest[edges[k] : edges[k + 1]]
+            rows.append((k, doc[js].tobytes(), key[js].tobytes(), None, at[js].astype(np.int64).tobytes(), None, n[js].astype(np.int64).tobytes(), b"\n".join([segments[j] for j in js])))
+        kinds = [pa.int64(), *[pa.binary()] * 7]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def pieces(words: bytes):
+        """The words of a blob of segments, about 1 MB at a time."""
+        at = 0
+        while at < len(words):
+            stop = words.find(b"\n", at + (1 << 20))
+            stop = len(words) if stop < 0 else stop
+            yield Words([words[at:stop]])
+            at = stop
 
     def settle(batches_in):
         import pyarrow as pa
 
-        out = ["doc_id", "key", "at", "bits"]
         held = []
         for b in batches_in:
-            done = b.filter(b.column("doc_id").is_valid())
+            done = b.filter(b.column("counts").is_valid())
             if done.num_rows:
-                yield done.select(out)
-            rest = b.filter(b.column("doc_id").is_null())
+                yield done.select(names[:6])
+            rest = b.filter(b.column("counts").is_null())
             held += zip(*(rest.column(c).to_pylist() for c in ("docs", "keys", "at", "lengths", "words")), strict=True)
         if not held:
             return
         doc, key, at, n = (np.frombuffer(b"".join(x[k] for x in held), np.int64) for k in range(4))
-        w = Words([s for x in held for s in x[4].split(b"\n")])
         # Word codes are ranks of 64-bit hashes, so suffixes compare by 13 codes of 4 bytes.
-        code = np.unique(w.hash, return_inverse=True)[1].astype(np.int32)
+        code = np.unique(np.concatenate([w.hash for x in held for w in pieces(x[4])]), return_inverse=True)[1].astype(np.int32)
+        del held
         row = np.repeat(np.arange(len(n)), n)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        codes = code[(w.first[row] + shift)[:, None] + np.arange(window)]
+        words = n + window - 1
+        first = np.cumsum(words) - words
+        codes = code[(first[row] + shift)[:, None] + np.arange(window)]
         hit = sorted_nodes(codes, doc[row], window)
         bits = np.zeros(len(n), np.int64)
         np.bitwise_or.at(bits, row[hit], np.int64(1) << shift[hit])
         some = bits != 0
-        for b in mark(pa, doc[some], key[some], at[some], bits[some]):
-            yield b.select(out)
+        yield pa.record_batch(to_documents(pa, parts, doc[some], key[some], at[some], bits[some]), names=names[:6])
 
-    rows = candidates.mapInArrow(ship, kind)
-    found = rows.repartition(parts, "part").mapInArrow(settle, "doc_id long, key long, at binary, bits binary")
-    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "bits")).alias("places"))
+    rows = candidates.mapInArrow(ship, f"{kind}, lengths binary, words binary")
+    found = rows.repartition(parts, "part").mapInArrow(settle, kind)
+    return gathered(found, parts, ["at", "bits"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """doc_id, key, n_words, n_removed, kept_sha256 and, where words go, kept_text and spans.
 
     docs has doc_id and text; other columns are ignored. Every word that lies in a window of
@@ -277,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     windows are judged on the input. spans are the removed stretches (word numbers from 0).
     Null and empty texts have no words. Rows with equal ids are not smaller than each other,
     and a row with a null id has no order: it keeps its words and takes no one's. Repeated
-    rows give repeated results. kept_text is null where all words stay.
+    rows give repeated results. kept_text is null where all words stay, and without `texts`.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -285,22 +354,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = buckets(spark, size)
     grams = repeated_grams(rows.filter(F.col("doc_id").isNotNull()), window, gram, parts)
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    candidates = materialize(keyed.join(grams, "doc_id"), "candidates")
+    candidates = materialize(pack_texts(rows).join(grams, "doc_id"), "candidates")
     places = materialize(repeated_windows(candidates, window, gram, parts), "places")
 
     def shorten(batches_in):
         import pyarrow as pa
 
         for b in batches_in:
-            places_c = b.column("places")
-            for at, texts in batches(b.column("text")):
-                w = Words(texts)
+            found = list(zip(b.column("at").to_pylist(), b.column("bits").to_pylist(), strict=True))
+            for at, parts_in in unpacked(b.column("z")):
+                w = Words(parts_in)
                 out = []
-                for k, found in enumerate(places_c.slice(at, len(texts)).to_pylist()):
+                for k, (a, bits) in enumerate(found[at : at + len(parts_in)]):
                     first, n = int(w.first[k]), int(w.first[k + 1] - w.first[k])
-                    a = np.frombuffer(b"".join(x["at"] for x in found), np.int64)
-                    bits = np.frombuffer(b"".join(x["bits"] for x in found), np.int64)
+                    a, bits = np.frombuffer(a, np.int64), np.frombuffer(bits, np.int64)
                     cover = np.zeros(n + 1, np.int64)
                     for j in range(window - gram + 1):
                         s = a[(bits >> j) & 1 == 1] + j
@@ -311,12 +378,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     kept = b" ".join([w.bytes[x:y] for x, y in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)])
                     edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
                     spans = [{"start": int(x), "stop": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-                    out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept, spans))
+                    out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept if texts else None, spans))
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-                yield pa.record_batch([b.column("doc_id").slice(at, len(texts)), b.column("key").slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+                yield pa.record_batch([b.column("doc_id").slice(at, len(parts_in)), b.column("key").slice(at, len(parts_in)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
-    cut = candidates.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]).join(places, ["doc_id", "key"])
+    cut = candidates.select("doc_id", "key", "z").join(places, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     cut = cut.mapInArrow(shorten, "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>")
     # Built-ins give the whole texts' digests: words joined by one space.
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
