@@ -79,8 +79,9 @@ def bitmaps(h: np.ndarray, first: np.ndarray, words: int = BITMAP) -> np.ndarray
 
 
 def width(n: np.ndarray) -> np.ndarray:
-    """Words of the bitmap of a set of n: a power of two that gives two bits a member or more."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).clip(0).astype(np.int64), BITMAP, 1024)
+    """Words of the bitmap of a set of n: a power of two that gives a bit a member or more,
+    at which unlike sets still differ in too many bits."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64), BITMAP, 1024)
 
 
 def own_bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -149,40 +150,41 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
     def ship(batches_in):
         import pyarrow as pa
 
-        names = ["part", "tokens", "owners", "doc_id", "name", "n", "bitmap"]
+        names = ["part", "tokens", "owners", "sizes", "doc_id", "name", "n", "bitmap"]
         for b in batches_in:
-            tok, own = [], []
+            tok, own, siz = [], [], []
             ids = b.column("doc_id")
             for at, texts in batches(b.column("text")):
                 h, first = shingle_sets(texts, n)
                 name, size = set_names(h, first), np.diff(first)
                 null = pa.nulls(len(texts), pa.binary())
-                yield pa.record_batch([pa.array(name % parts), null, null, ids.slice(at, len(texts)), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(own_bitmaps(h, first), pa.binary())], names=names)
+                yield pa.record_batch([pa.array(name % parts), null, null, null, ids.slice(at, len(texts)), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(own_bitmaps(h, first), pa.binary())], names=names)
                 row = np.repeat(np.arange(len(texts)), size)
                 order = np.lexsort((mix(h), classes[(h >> np.uint64(40)).astype(np.int64) % slots], row))
                 rank = np.arange(len(h)) - np.repeat(first[:-1], size)
                 lead = order[rank < np.repeat(size - needed(size, percent) + 1, size)]
                 tok.append(h[lead])
                 own.append(name[row[lead]])
+                siz.append(size[row[lead]])
             if not tok:
                 continue
-            tok, own = np.concatenate(tok), np.concatenate(own)
+            tok, own, siz = np.concatenate(tok), np.concatenate(own), np.concatenate(siz).astype(np.int32)
             # Copies in a batch send their shingles once.
             order = np.lexsort((own, tok, tok % np.uint64(parts)))
-            tok, own = tok[order], own[order]
+            tok, own, siz = tok[order], own[order], siz[order]
             new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])]) if len(tok) else np.empty(0, bool)
-            tok, own = tok[new], own[new]
+            tok, own, siz = tok[new], own[new], siz[new]
             edges = np.searchsorted(tok % np.uint64(parts), np.arange(parts + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edges))
             none = pa.nulls(len(some), pa.int64())
-            yield pa.record_batch([pa.array(some), *(pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for x in (tok, own)), none, none, none, pa.nulls(len(some), pa.binary())], names=names)
+            yield pa.record_batch([pa.array(some), *(pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for x in (tok, own, siz)), none, none, none, pa.nulls(len(some), pa.binary())], names=names)
 
     def group(batches_in):
         import pyarrow as pa
 
         names = ["doc_id", "name", "n", "bitmap", "key", "members"]
         members_t = pa.list_(pa.int64())
-        tok, own = [], []
+        tok, own, siz = [], [], []
         for b in batches_in:
             docs_in = b.filter(b.column("tokens").is_null())
             if docs_in.num_rows:
@@ -190,12 +192,14 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
             rest = b.filter(b.column("tokens").is_valid())
             tok += rest.column("tokens").to_pylist()
             own += rest.column("owners").to_pylist()
-        tok, own = np.frombuffer(b"".join(tok), np.uint64), np.frombuffer(b"".join(own), np.int64)
-        order = np.lexsort((own, tok))
-        tok, own = tok[order], own[order]
+            siz += rest.column("sizes").to_pylist()
+        tok, own, siz = (np.frombuffer(b"".join(x), t) for x, t in ((tok, np.uint64), (own, np.int64), (siz, np.int32)))
+        order = np.lexsort((own, siz, tok))
+        tok, own, siz = tok[order], own[order], siz[order]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])]) if len(tok) else np.empty(0, bool)
-        tok, own = tok[new], own[new]
-        first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.empty(0, int)
+        tok, own, siz = tok[new], own[new], siz[new].astype(np.int64)
+        # A step between neighbouring sizes that no link can span parts a shingle's nodes.
+        first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (siz[:-1] < needed(siz[1:], percent))])) if len(tok) else np.empty(0, int)
         size = np.diff(np.append(first, len(tok)))
         seen: dict[bytes, np.ndarray] = {}
 
@@ -216,7 +220,7 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
         if seen:
             yield rows()
 
-    rows = docs.mapInArrow(ship, "part long, tokens binary, owners binary, doc_id long, name long, n long, bitmap binary")
+    rows = docs.mapInArrow(ship, "part long, tokens binary, owners binary, sizes binary, doc_id long, name long, n long, bitmap binary")
     return rows.repartition(parts, "part").mapInArrow(group, "doc_id long, name long, n long, bitmap binary, key binary, members array<long>")
 
 
