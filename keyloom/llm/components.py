@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.storage import materialize
+from keyloom.llm.storage import adopt, discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Where every edge of a node leads to a root that has none above, all is done.
         step = materialize(_stars(_stars(edges, True), False), "edges")
         after = state(step)
+        discard(edges)
         if after == before:
-            return step.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(step.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return adopt(step.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(step.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), step)
         edges, before = step, after

@@ -72,11 +72,11 @@ class Words:
         return (np.arange(len(self)) + n <= ends)[: max(0, len(self) - n + 1)]
 
 
-def batches(column, most: int = 1 << 20):
+def batches(column, most: int = 1 << 18):
     """(first row, texts) of an Arrow binary column in parts of about `most` bytes."""
     texts, size, at = [], 0, 0
-    for k in range(0, len(column), 256):
-        for t in column.slice(k, 256).to_pylist():
+    for k in range(0, len(column), 64):
+        for t in column.slice(k, 64).to_pylist():
             texts.append(t or b"")
             size += len(texts[-1])
             if size >= most:

@@ -8,10 +8,14 @@ of nodes that share such a shingle, each distinct group once, are laid out in si
 tiles; there the bits that two hashed bitmap signatures differ in bound their overlap from
 above, and of the pairs that pass a spanning forest is kept. Its components are the only
 places where links can be. Each is a tile again, or several when it is large, with the
-members' whole texts, sent once a tile: sizes, then bitmaps, then exact intersections of the
-sorted arrays decide, skipping pairs that are already connected, so that a group of copies
-gives as many rows as members. No cut is made anywhere: every pair that can reach t is
-either compared or connected by other links.
+members' whole texts: sizes, then bitmaps, then exact intersections of the sorted arrays
+decide, skipping pairs that are already connected.
+
+A group or place that is larger than a tile is first dealt twice, by two hashes, each row
+going to one tile a deal: what near copies make of it is one component, found with two rows
+a member. Only rows outside the group's largest component then meet the others, in tiles of
+two chunks of neighbouring size bands. No cut is made anywhere: every pair that can reach t
+is either compared or connected by other links.
 
 Nodes are named by a 64-bit hash of the set; among 10^9 distinct sets the chance of any two
 with one name is 3 in 100.
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
 from keyloom.llm.grams import SPACE, Words, batches, mix
-from keyloom.llm.storage import materialize, partitions
+from keyloom.llm.storage import discard, materialize, partitions
 
 N, PERCENT = 4, 85
-#: Least 64-bit words of a bitmap; members of a tile; counters of the frequency sketch.
-BITMAP, TILE, SKETCH = 16, 1024, 1 << 18
+#: Least 64-bit words of a bitmap; members, and shingles of all members, of a tile; counters of the sketch.
+BITMAP, TILE, WEIGHT, SKETCH = 16, 1024, 1 << 20, 1 << 18
 #: Most candidate ids (of 8 bytes) that are broadcast to fetch their texts.
 SMALL = 200_000
 #: Set members that are compared in one step.
@@ -142,24 +146,30 @@ def frequency_class(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean)) - 2).astype(np.uint8)
 
 
-def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
-    """Rows of documents (doc_id, name, n, bitmap) and of groups (key, members), one or the other."""
+def shipped_shingles(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """Rows of documents (doc_id, text_hash, name, n, bitmap), and of prefix shingles by part.
+
+    docs has doc_id, text_hash and text. A row is one or the other; of the second kind are
+    part, tokens, owners and sizes, the shingles with the names and sizes of their sets.
+    """
     classes = frequency_class(frequency_sketch(docs, n))
     slots = len(classes)
+    kind = "part long, tokens binary, owners binary, sizes binary, doc_id long, text_hash long, name long, n long, bitmap binary"
+    names = [x.split()[0] for x in kind.split(", ")]
 
     def ship(batches_in):
         import pyarrow as pa
 
-        names = ["part", "tokens", "owners", "sizes", "doc_id", "name", "n", "bitmap"]
         for b in batches_in:
             tok, own, siz = [], [], []
-            ids = b.column("doc_id")
+            ids, keys = b.column("doc_id"), b.column("text_hash")
             for at, texts in batches(b.column("text")):
                 h, first = shingle_sets(texts, n)
                 name, size = set_names(h, first), np.diff(first)
-                null = pa.nulls(len(texts), pa.binary())
-                yield pa.record_batch([pa.array(name % parts), null, null, null, ids.slice(at, len(texts)), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(own_bitmaps(h, first), pa.binary())], names=names)
-                row = np.repeat(np.arange(len(texts)), size)
+                m = len(texts)
+                null = pa.nulls(m, pa.binary())
+                yield pa.record_batch([pa.nulls(m, pa.int64()), null, null, null, ids.slice(at, m), keys.slice(at, m), pa.array(name, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(own_bitmaps(h, first), pa.binary())], names=names)
+                row = np.repeat(np.arange(m), size)
                 order = np.lexsort((mix(h), classes[(h >> np.uint64(40)).astype(np.int64) % slots], row))
                 rank = np.arange(len(h)) - np.repeat(first[:-1], size)
                 lead = order[rank < np.repeat(size - needed(size, percent) + 1, size)]
@@ -177,22 +187,23 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
             edges = np.searchsorted(tok % np.uint64(parts), np.arange(parts + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edges))
             none = pa.nulls(len(some), pa.int64())
-            yield pa.record_batch([pa.array(some), *(pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for x in (tok, own, siz)), none, none, none, pa.nulls(len(some), pa.binary())], names=names)
+            yield pa.record_batch([pa.array(some), *(pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for x in (tok, own, siz)), none, none, none, none, pa.nulls(len(some), pa.binary())], names=names)
+
+    return docs.mapInArrow(ship, kind)
+
+
+def prefix_groups(shipped: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(key, members): each distinct set of nodes that share a prefix shingle, once."""
 
     def group(batches_in):
         import pyarrow as pa
 
-        names = ["doc_id", "name", "n", "bitmap", "key", "members"]
         members_t = pa.list_(pa.int64())
         tok, own, siz = [], [], []
         for b in batches_in:
-            docs_in = b.filter(b.column("tokens").is_null())
-            if docs_in.num_rows:
-                yield pa.record_batch([*(docs_in.column(c) for c in names[:4]), pa.nulls(docs_in.num_rows, pa.binary()), pa.nulls(docs_in.num_rows, members_t)], names=names)
-            rest = b.filter(b.column("tokens").is_valid())
-            tok += rest.column("tokens").to_pylist()
-            own += rest.column("owners").to_pylist()
-            siz += rest.column("sizes").to_pylist()
+            tok += b.column("tokens").to_pylist()
+            own += b.column("owners").to_pylist()
+            siz += b.column("sizes").to_pylist()
         tok, own, siz = (np.frombuffer(b"".join(x), t) for x, t in ((tok, np.uint64), (own, np.int64), (siz, np.int32)))
         order = np.lexsort((own, siz, tok))
         tok, own, siz = tok[order], own[order], siz[order]
@@ -204,8 +215,7 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
         seen: dict[bytes, np.ndarray] = {}
 
         def rows():
-            null = pa.nulls(len(seen), pa.int64())
-            return pa.record_batch([null, null, null, pa.nulls(len(seen), pa.binary()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), members_t)], names=names)
+            return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), members_t)], names=["key", "members"])
 
         held = 0
         for a, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
@@ -220,28 +230,71 @@ def nodes_and_groups(docs: DataFrame, n: int, percent: int, parts: int) -> DataF
         if seen:
             yield rows()
 
-    rows = docs.mapInArrow(ship, "part long, tokens binary, owners binary, sizes binary, doc_id long, name long, n long, bitmap binary")
-    return rows.repartition(parts, "part").mapInArrow(group, "doc_id long, name long, n long, bitmap binary, key binary, members array<long>")
+    rows = shipped.filter(F.col("part").isNotNull()).select("part", "tokens", "owners", "sizes")
+    found = rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(group, "key binary, members array<long>")
+    return found.groupBy("key").agg(F.first("members").alias("members"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (key, k, name and others) with their tiles: a group is one tile, or k tiles of each of two deals."""
+    deals = [F.xxhash64("key", F.lit(d), F.pmod(F.xxhash64("name", F.lit(d)), F.col("k"))) for d in (1, 2)]
+    return rows.withColumn("tile", F.explode(F.when(F.col("k") <= 1, F.array(F.xxhash64("key"))).otherwise(F.array(*deals))))
 
 
-def tiled(df: DataFrame, key: str, percent: int, tile: int = TILE) -> DataFrame:
-    """df (key, name, n, size of the key's group) with the tiles that a row belongs to.
+def across(rows: DataFrame, found: DataFrame, percent: int, tile: int) -> DataFrame:
+    """The rows of large groups that are still in several components, with tiles and root.
 
-    A group of up to `tile` rows is one tile. A larger one is cut into bands of sizes, a
-    band being as wide as partners' sizes can differ, and each band by a hash; its tiles are
-    the pairs of parts of one band or of neighbouring bands.
+    rows as in dealt(), with n; found has node and root. A group's largest component is cut
+    into chunks, and so is the rest, by bands of sizes, a band being as wide as partners'
+    sizes can differ. Tiles are pairs of chunks of one band or of neighbouring ones, but not
+    of two chunks of the largest component.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
-    k = F.ceil(F.col("size") / tile).cast("long")
-    sub = F.pmod(F.xxhash64("name"), k)
-    others = F.sequence(F.lit(0).cast("long"), k - 1)
-    pair = lambda a, s, b, t: F.struct(a.alias("a"), s.alias("s"), b.alias("b"), t.alias("t"))
-    same = F.transform(others, lambda t: pair(band, F.least(sub, t), band, F.greatest(sub, t)))
-    up = F.transform(others, lambda t: pair(band, sub, band + 1, t))
-    down = F.transform(others, lambda t: pair(band - 1, t, band, sub))
-    zero = F.lit(0).cast("long")
-    tiles = F.when(k <= 1, F.array(pair(zero, zero, zero, zero))).otherwise(F.concat(same, up, down))
-    return df.withColumn("tile", F.explode(tiles)).withColumn("tile", F.xxhash64(key, "tile"))
+    rows = rows.filter("k > 1").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("major"), F.count(F.lit(1)).alias("roots"))
+    wide = -math.log(percent / 100) * (1 + 1e-9)
+    rest = rows.join(per.filter("roots > 1").drop("roots"), "key").withColumns({"rest": F.col("root") != F.col("major"), "band": F.floor(F.log(F.col("n").cast("double")) / wide).cast("long")})
+    spot = ["key", "rest", "band"]
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / WEIGHT)).cast("long")
+    chunks = rest.groupBy(*spot).agg(cut.alias("cuts"))
+    each = chunks.select(*spot, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("chunk"))
+    x, y = (each.select("key", F.struct("band", "rest", "chunk").alias(c)) for c in "xy")
+    ahead = F.col("y.band") - F.col("x.band")
+    pairs = x.join(y, "key").filter((F.col("x.rest") | F.col("y.rest")) & ((ahead == 1) | ((ahead == 0) & (F.col("x") <= F.col("y")))))
+    member = pairs.withColumn("tile", F.xxhash64("key", "x", "y")).select("key", "tile", F.explode(F.array_distinct(F.array("x", "y"))).alias("c")).select("key", "tile", "c.*")
+    placed = rest.join(chunks, spot).withColumn("chunk", F.pmod(F.xxhash64("name", F.lit(3)), F.col("cuts")))
+    return placed.join(member, [*spot, "chunk"]).drop("major", "rest", "band", "cuts", "chunk")
+
+
+def linked(rows: DataFrame, payload: str, find, large: bool, parts: int, percent: int, tile: int) -> DataFrame:
+    """(node, root) of the nodes of rows (key, k, name, n, payload) that find() links.
+
+    find(names, sizes, payloads, roots) returns pairs of names; it gets a tile at a time, and
+    pairs whose roots (None: unknown) are equal needn't be looked at. large: some k is above 1.
+    """
+
+    def run(batches_in):
+        import pyarrow as pa
+
+        u, v = [], []
+        for names, sizes, payloads, roots in by_tile(batches_in, ["name", "n", payload, "root"]):
+            for i, j in find(names, sizes, payloads, roots):
+                u.append(i)
+                v.append(j)
+            if len(u) > 1 << 16:
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def edges(tiles: DataFrame) -> DataFrame:
+        return tiles.select("tile", "name", "n", payload, "root").repartition(parts, "tile").sortWithinPartitions("tile", "name").mapInArrow(run, "u long, v long")
+
+    found = components(edges(dealt(rows).withColumn("root", F.lit(None).cast("long"))))
+    if not large:
+        return found
+    more = materialize(edges(across(rows, found, percent, tile)), "links")
+    if more.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def by_tile(batches_in, columns: list[str]):
@@ -265,8 +318,10 @@ def by_tile(batches_in, columns: list[str]):
 class Forest:
     """Union-find over 0 .. n - 1, with the roots of all at hand as an array."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, roots: np.ndarray):
+        """roots: rows of equal values are connected."""
+        self.root = np.unique(roots, return_index=True, return_inverse=True)[1:]
+        self.root = self.root[0][self.root[1]]
 
     def join(self, i: int, js: np.ndarray) -> None:
         roots = np.unique(np.append(self.root[js], self.root[i]))
@@ -303,12 +358,12 @@ class Folded:
         return maps[js - a], maps[i - a]
 
 
-def candidate_forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest (pairs of row numbers) of the pairs that sizes and bitmaps allow."""
+def candidate_forest(n: np.ndarray, maps: list[bytes], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of row numbers, a spanning forest of what sizes and bitmaps allow between unlike roots."""
     order = np.argsort(n, kind="stable")
     n = n[order]
     folded = Folded([maps[k] for k in order])
-    forest, out = Forest(len(n)), []
+    forest, out = Forest(roots[order]), []
     low = np.searchsorted(n, needed(n, percent))
     for i in range(1, len(n)):
         js = np.arange(low[i], i)
@@ -325,8 +380,8 @@ def candidate_forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tup
     return out
 
 
-def exact_components(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """The root (a row number) of each set among the sets whose links connect it."""
+def exact_components(h: np.ndarray, first: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """The root (a row number) of each set among the sets that links or equal `roots` connect it to."""
     size = np.diff(first)
     order = np.argsort(size, kind="stable")
     # Longer sets get longer bitmaps here, where they needn't be sent.
@@ -337,7 +392,7 @@ def exact_components(h: np.ndarray, first: np.ndarray, percent: int) -> np.ndarr
     n = size[order]
     start = np.concatenate([[0], np.cumsum(n)])
     code = np.concatenate([code[first[r] : first[r + 1]] for r in order]) if len(order) else code
-    forest = Forest(len(n))
+    forest = Forest(roots[order])
     low = np.searchsorted(n, needed(n, percent))
     for i in range(1, len(n)):
         js = np.arange(low[i], i)
@@ -378,58 +433,51 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
     repeated results, other columns are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(partitions(spark), size // (64 << 20))
-    base = materialize(nodes_and_groups(rows, n, percent, parts), "shingles")
-    known = base.filter(F.col("key").isNull()).select("doc_id", "name", "n", "bitmap")
-    nodes = known.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    groups = base.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("members").alias("members"))
-
-    def pass_bitmaps(batches_in):
-        import pyarrow as pa
-
-        u, v = [], []
-        for names, sizes, maps in by_tile(batches_in, ["name", "n", "bitmap"]):
-            for i, j in candidate_forest(np.array(sizes), maps, percent):
-                u.append(names[i])
-                v.append(names[j])
-            if len(u) > 1 << 16:
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                u, v = [], []
-        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    each = groups.select("key", F.size("members").alias("size"), F.explode("members").alias("name")).join(nodes.select("name", "n", "bitmap"), "name")
-    tiles = tiled(each, "key", percent, tile).select("tile", "name", "n", "bitmap").repartition(parts, "tile").sortWithinPartitions("tile")
-    places = components(tiles.mapInArrow(pass_bitmaps, "u long, v long"))
+    shipped = materialize(shipped_shingles(rows, n, percent, parts), "shingles")
+    known = shipped.filter(F.col("part").isNull()).select("doc_id", "text_hash", "name", "n", "bitmap")
+    # A node's text is read from its row of the smallest doc_id.
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = known.filter(F.col("name").isNotNull()).groupBy("name").agg(place.alias("at"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    nodes = materialize(nodes.select("name", F.col("at.doc_id").alias("least"), F.col("at.text_hash").alias("text_hash"), "n", "bitmap"), "nodes")
+    groups = prefix_groups(shipped, percent, parts)
+
+    def allowed(names, sizes, maps, roots):
+        known_roots = names if roots[0] is None else roots
+        return [(names[i], names[j]) for i, j in candidate_forest(np.array(sizes), maps, np.array(known_roots), percent)]
+
+    def exact(names, sizes, texts, roots):
+        at, held, arrays = 0, 0, []
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held >= 1 << 18 or k + 1 == len(texts):
+                h, first = shingle_sets(texts[at : k + 1], n)
+                arrays += np.split(h, first[1:-1])
+                at, held = k + 1, 0
+        first = np.cumsum([0, *map(len, arrays)])
+        root = exact_components(np.concatenate(arrays), first, np.array(names if roots[0] is None else roots), percent)
+        return [(names[k], names[r]) for k, r in enumerate(root.tolist()) if k != r]
+
+    each = materialize(groups.select("key", F.ceil(F.size("members") / tile).cast("long").alias("k"), F.explode("members").alias("name")), "members")
+    large = not each.filter("k > 1").isEmpty()
+    places = linked(each.join(nodes.select("name", "n", "bitmap"), "name"), "bitmap", allowed, large, parts, percent, tile)
 
     # A place of links: all texts of its nodes go to its tiles.
-    counted = places.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = materialize(places.join(counted, "root").withColumnRenamed("node", "name").join(nodes.drop("bitmap"), "name").select(F.col("least").alias("doc_id"), "name", "root", "n", "size"), "wanted")
-    few = wanted.count() <= SMALL
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).drop(wanted["doc_id"])
-    texts = tiled(texts, "root", percent, tile).select("tile", "name", "text").repartition(parts, "tile").sortWithinPartitions("tile", "name")
-
-    def compare(batches_in):
-        import pyarrow as pa
+    named = places.join(nodes.select(F.col("name").alias("node"), "least", "text_hash", "n"), "node")
+    counted = named.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / WEIGHT)).cast("long").alias("k"))
+    wanted = materialize(named.join(counted, "root").withColumnsRenamed({"node": "name", "root": "key"}), "wanted")
+    near = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    texts = rows.join(near, rows["doc_id"].eqNullSafe(wanted["least"]) & (rows["text_hash"] == wanted["text_hash"])).select("key", "k", "name", "n", "text")
+    if not known.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        # Rows that repeat both id and text count once.
+        texts = texts.dropDuplicates(["name"])
+    joined = linked(texts, "text", exact, not wanted.filter("k > 1").isEmpty(), parts, percent, tile)
 
-        for names, found in by_tile(batches_in, ["name", "text"]):
-            # Rows that share their id with another text, and repeated rows, are left out here.
-            kept, arrays = [], []
-            for at in range(0, len(found), 2048):
-                h, first = shingle_sets(found[at : at + 2048], n)
-                for k, g in enumerate(set_names(h, first).tolist()):
-                    if g == names[at + k] and (not kept or kept[-1] != g):
-                        kept.append(g)
-                        arrays.append(h[first[k] : first[k + 1]])
-            sizes = [0, *map(len, arrays)]
-            root = exact_components(np.concatenate(arrays) if arrays else np.empty(0, np.uint64), np.cumsum(sizes), percent)
-            kept = np.array(kept, np.int64)
-            yield pa.record_batch([pa.array(kept), pa.array(kept[root])], names=["u", "v"])
-
-    joined = components(texts.mapInArrow(compare, "u long, v long"))
     least = joined.join(nodes.select(F.col("name").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("reached"))
-    linked = joined.join(least, "root").select(F.col("node").alias("name"), "reached")
-    named = nodes.select("name", "least").join(linked, "name", "left").select("name", F.least("least", "reached").alias("component_id"))
-    out = known.select("doc_id", "name", F.col("n").alias("n_shingles")).join(named, "name", "left")
+    reached = joined.join(least, "root").select(F.col("node").alias("name"), "reached")
+    ids = materialize(nodes.select("name", "least").join(reached, "name", "left").select("name", F.least("least", "reached").alias("component_id")), "components")
+    discard(each, wanted, places, joined, nodes)
+    out = known.select("doc_id", "name", F.col("n").alias("n_shingles")).join(ids, "name", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

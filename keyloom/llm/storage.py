@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where materialized frames lie.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
@@ -36,7 +40,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def adopt(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, a projection of the materialized source, which discard() then takes for it."""
+    _written[df] = _written.pop(source)
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing will read any more; others stay."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

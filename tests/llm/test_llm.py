@@ -207,13 +207,30 @@ def test_ngram_join(spark, odd, empty, tile):
         for _ in range(R.randint(0, 8)):
             t[R.randrange(len(t))] = f"z{R.randrange(50)}"
         near.append((1000 + k, " ".join(t)))
-    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    # Apart from the near copies, a group of unlike sets of one frequent beginning.
+    near += [(2000 + k, f"{' '.join(base[:4])} {prose(3)}") for k in range(40)]
+    df = odd.unionByName(spark.createDataFrame(near, "doc_id long, text string"), allowMissingColumns=True)
     got = sorted((tuple(r) for r in similar_components(df, tile=tile).collect()), key=repr)
     assert got == brute_components(rows_of(df))
     if tile == 8:
         assert similar_components(empty).count() == 0
 
 
+def test_near_copies_send_two_rows_each(spark, monkeypatch):
+    """5,000 near copies in one group: a row a member and deal, and no second round."""
+    from keyloom.llm import ngram_join as m
+
+    base = [f"b{k}" for k in range(120)]
+    near = [(k, " ".join([*base[: 20 + k % 7], f"z{k}", *base[21 + k % 7 :]])) for k in range(5000)]
+    sent, late = [], []
+    dealt, across = m.dealt, m.across
+    monkeypatch.setattr(m, "dealt", lambda rows: sent.append((rows.count(), (out := dealt(rows)).count())) or out)
+    monkeypatch.setattr(m, "across", lambda *a: late.append((out := across(*a)).count()) or out)
+    got = similar_components(spark.createDataFrame(near, "doc_id long, text string").repartition(4)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 5000
+    assert all(n <= 2 * rows for rows, n in sent) and late and not any(late)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 300), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
