@@ -2,23 +2,31 @@
 
 Documents are cut into full windows of the longest tier; what is left goes to the pool of
 the smallest tier that holds it. Each tier is packed from its pool, and the gap that is left
-in a window is filled from the pools of the shorter tiers, longest pieces first, the last
-piece being cut to fit. What remains at the end of a partition is packed on its own, the
-last sequence in windows of smaller tiers. Sequences of a tier form step groups of equal
-tokens. Partitions are packed alone, so no rows move and nothing grows beyond a batch.
+in a window is filled from the pools of the shorter tiers, longest pieces first, and then
+from its own, the last piece being cut to fit. So after every few hundred documents less
+than one window is pending. What remains at the end of a partition is packed on its own, the
+last sequence in windows of smaller tiers; partitions are packed alone, so no rows move.
+
+The sequences of a tier, over all partitions, are then dealt in order to step groups whose
+sizes differ by one sequence at most. Numbers of sequences a partition and tier are all that
+this needs, and they are joined to the written pieces.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.storage import materialize
+
 TIERS = (1024, 512, 256, 128)
 #: Tokens of a step group.
 STEP = 65_536
-SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, tier int, tier_index long"
+#: Most rows (of 40 bytes) of the table of partitions and tiers that is broadcast.
+SMALL = 200_000
 
 
 class Packer:
@@ -31,14 +39,13 @@ class Packer:
         self.tiers = tuple(sorted(tiers, reverse=True))
         self.pools: dict[int, deque] = {t: deque() for t in self.tiers}
         self.next, self.out, self.count = first_id, [], dict.fromkeys(self.tiers, 0)
-        self.first = first_id
 
     def _emit(self, tier: int, pieces: list) -> None:
-        at, group = 0, self.count[tier] * tier // STEP
+        at, index = 0, self.count[tier]
         self.count[tier] += 1
         for doc, start, ids, whole in pieces:
             n = len(ids) // 4
-            self.out.append((doc, start, n, ids, whole, self.next, at, tier, self.first + group))
+            self.out.append((doc, start, n, ids, whole, self.next, at, tier, index))
             at += n
         self.next += 1
 
@@ -59,14 +66,15 @@ class Packer:
         return (doc, start, ids[: 4 * n], whole), (doc, start + n, ids[4 * n :], whole)
 
     def pack(self) -> None:
+        """Packs all but what doesn't fill a window of its tier: less than one longest window."""
         for k, tier in enumerate(self.tiers):
             pool = self.pools[tier]
             while pool:
                 seq = [pool.popleft()]
                 gap = tier - len(seq[0][2]) // 4
-                for shorter in self.tiers[k + (k + 1 < len(self.tiers)) :]:
-                    while gap and self.pools[shorter]:
-                        piece = self.pools[shorter].popleft()
+                for source in (*self.tiers[k + 1 :], tier):
+                    while gap and self.pools[source]:
+                        piece = self.pools[source].popleft()
                         if len(piece[2]) // 4 > gap:
                             piece, rest = self._cut(piece, gap)
                             self._route(rest)
@@ -78,6 +86,10 @@ class Packer:
                     break
                 self._emit(tier, seq)
 
+    def pending(self) -> int:
+        """Tokens in the pools."""
+        return sum(len(p[2]) // 4 for pool in self.pools.values() for p in pool)
+
     def finish(self) -> None:
         self.pack()
         rest = [p for t in self.tiers for p in self.pools[t]]
@@ -99,14 +111,42 @@ class Packer:
             self._emit(tier, seq)
 
 
-def pack(df: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """One row for each piece of a document of df (doc_id, text).
+def pack(df: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:
+    """One row for each piece of a document of df (doc_id, text), with its step group.
 
-    Columns as in SCHEMA; tier is the sequence's full length and step_group the group of
-    one tier's sequences that make a step. Every document is closed by id 0, so a null or
-    empty text is that id alone; no piece is empty. Null ids and repeated rows are packed
+    Columns as in SCHEMA and step_group; tier is the sequence's full length, tier_index its
+    number among the partition's of that tier. Every document is closed by id 0, so a null
+    or empty text is that id alone; no piece is empty. Null ids and repeated rows are packed
     like others, further columns are ignored, and an empty table has no rows.
     """
+    return grouped(materialize(pieces(df, tokenizer, tiers), "pieces"), step)
+
+
+def grouped(packed: DataFrame, step: int = STEP) -> DataFrame:
+    """packed (pieces() or a projection that has sequence_id, tier, tier_index), written, with step_group.
+
+    A tier of s sequences has round(s * tier / step) groups, one at least, of s / groups
+    sequences, rounded up or down; groups are numbered from 0 over the tiers, longest first.
+    """
+    part = F.shiftright("sequence_id", 32).alias("part")
+    counts = packed.groupBy(part, "tier").agg((F.max("tier_index") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy("tier"))})
+    counts = materialize(counts.withColumn("groups", F.greatest(F.round(F.col("all") * F.col("tier") / step), F.lit(1)).cast("long")), "counts")
+    first, at = {}, 0
+    for r in counts.select("tier", "groups").distinct().orderBy(F.desc("tier")).collect():  # one row a tier
+        first[r.tier] = at
+        at += r.groups
+    base = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in first.items()], F.lit(0)).cast("long")
+    counts = counts.select("part", "tier", "before", "all", "groups")
+    table = F.broadcast(counts) if counts.count() <= SMALL else counts
+    rows = packed.withColumn("part", part).join(table, ["part", "tier"])
+    group = base + F.floor((F.col("before") + F.col("tier_index")) * F.col("groups") / F.col("all")).cast("long")
+    return rows.withColumn("step_group", group).select(*packed.columns, "step_group")
+
+
+def pieces(df: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+    """The pieces of pack() before their step groups are known, as in SCHEMA."""
 
     def run(batches):
         import pyarrow as pa

@@ -25,10 +25,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keyloom.llm.packing import pack
+    from keyloom.llm.packing import grouped, pieces
 
-    pieces = pack(table(spark, sf_dir, "documents"), tokenizer())
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    found = pieces(table(spark, sf_dir, "documents"), tokenizer())
+    narrow = found.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "tier_index")
+    return grouped(materialize(narrow, "pieces"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,38 @@ _byte = _visible()
 _chars = {c: "".join(_byte[b] for b in c.encode()) for c in map(chr, [*range(0x20, 0x7F), 0x0A, *range(0xC0, 0x100)])}
 
 
+class Memo(dict):
+    """Ids of what follows a space, and, with a zero byte before it, of what begins a text."""
+
+    def __init__(self, tok):
+        self.tok, self.model = tok, tok.model.tokenize
+
+    def __missing__(self, y: str) -> bytes:
+        lead = y[:1] == "\0"
+        core = y[1:] if lead else y
+        if core.isalpha() and core.isascii():
+            out = self._run(core if lead else f"Ġ{core}")
+        elif _plain.fullmatch(y):
+            r = _runs.findall(core)
+            if len(r) == 1:
+                shown = core if core.isascii() and core != "\n" else "".join(map(_chars.__getitem__, core))
+                out = self._run(shown if lead else f"Ġ{shown}")
+            else:
+                out = self[f"\0{r[0]}" if lead else r[0]] + b"".join([self[f"\0{x}"] for x in r[1:]])
+        else:
+            out = array("I", self.tok.encode(core if lead else f" {core}", add_special_tokens=False).ids).tobytes()
+        self[y] = out
+        return out
+
+    def _run(self, shown: str) -> bytes:
+        """Ids of one run of letters, digits, signs or line ends, straight from the model."""
+        return array("I", [t.id for t in self.model(shown)]).tobytes()
+
+
 class Encoder:
+    """The ids that the library gives with add_special_tokens=False; strings of added tokens
+    inside a text are those tokens, as in a tokenizer fresh from its file."""
+
     def __init__(self, path: str):
         import os
 
@@ -44,46 +75,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        #: Ids of what follows a space, and, with a zero byte before it, of what begins a text.
-        self.memo: dict[str, bytes] = {}
+        #: Texts with one of these, or a zero byte, go to the library whole.
+        self.special = re.compile("|".join(map(re.escape, ["\0", *(t["content"] for t in spec.get("added_tokens") or [])])))
+        self.memo = Memo(self.tok)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces that are one run of _plain characters each, straight from the model."""
-        model, chars, out = self.tok.model.tokenize, _chars.__getitem__, []
-        space = _chars[" "]
-        for y in words:
-            core = y[1:] if y[0] == "\0" else y
-            shown = core if core.isascii() and core != "\n" else "".join(map(chars, core))
-            out.append(array("I", [t.id for t in model(shown if y[0] == "\0" else space + shown)]).tobytes())
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        memo = self.memo
-        runs, single, other = {}, set(), []
-        for y in new:
-            if not (m := _plain.fullmatch(y)):
-                other.append(y)
-                continue
-            r = _runs.findall(y)
-            r = [f"\0{r[0]}" if m[1] else r[0], *[f"\0{x}" for x in r[1:]]]
-            if len(r) > 1:
-                runs[y] = r
-            single.update(r)
-        todo = list(single.difference(memo))
-        memo.update(zip(todo, self._words(todo), strict=True))
-        memo.update(zip(other, self._ids([y[1:] if y[:1] == "\0" else f" {y}" for y in other]), strict=True))
-        get = memo.__getitem__
-        for y, r in runs.items():
-            memo[y] = b"".join(map(get, r))
-
     def _slices(self, text: str):
         at = 0
         while len(text) - at > 2 * SLICE and (m := _safe.search(text, at + SLICE)):
@@ -91,47 +93,23 @@ class Encoder:
             at = m.start()
         yield text[at:]
 
+    def _cut(self, text: str) -> bytes:
+        out = []
+        for k, s in enumerate(self._slices(text)):
+            whole = s[1:] if k else s  # a later slice begins with its space
+            x = _safe.split(whole) if _odd.search(whole) or whole[:1] == " " or whole[-1:] == " " else whole.split(" ")
+            if not k:
+                x[0] = f"\0{x[0]}"
+            out.append(b"".join(map(self.memo.__getitem__, x)))
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return self._ids(texts)
-        out: list[bytes] = []
-        held: list[tuple[bool, list[str]]] = []
-        size = 0
-
-        def flush():
-            nonlocal held, size
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            get = self.memo.get
-            found = [list(map(get, x)) for _, x in held]
-            holes = [[k for k, v in enumerate(r) if v is None] for r in found]
-            self._learn({x[k] for (_, x), h in zip(held, holes, strict=True) for k in h})
-            for (more, x), r, h in zip(held, found, holes, strict=True):
-                for k in h:
-                    r[k] = get(x[k])
-                if more:
-                    out[-1] += b"".join(r)
-                else:
-                    out.append(b"".join(r))
-            held, size = [], 0
-
-        for text in texts:
-            if "\0" in text:
-                flush()
-                out += self._ids([text])
-                continue
-            for k, s in enumerate(self._slices(text)):
-                whole = s[1:] if k else s  # a later slice begins with its space
-                x = _safe.split(whole) if _odd.search(whole) or whole[:1] == " " or whole[-1:] == " " else whole.split(" ")
-                if not k:
-                    x[0] = f"\0{x[0]}"
-                held.append((k > 0, x))
-                size += len(s)
-                if size >= SLICE:
-                    flush()
-        flush()
-        return out
+        return [self._ids([t])[0] if self.special.search(t) else self._cut(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:

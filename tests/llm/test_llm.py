@@ -84,7 +84,10 @@ def test_encoder_equals_library():
     al = list("ab ,.'s\n\t 1½é😀<|>\x1c\0")
     texts = ["", " ", "it's we'll <|endoftext|>", "日本 語"] + ["".join(R.choice(al) for _ in range(R.randint(0, 50))) for _ in range(500)]
     texts.append(" ".join(texts) * 3)
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    texts += ["<|endoftext|>", "a<|endoftext|>", "<|endoftext|> b", "a <|endoftext|> b  <|endoftext|>", "x" * 3000, "ÀéÿĀ 12,5;\n\nend."]
+    from tokenizers import Tokenizer
+
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
     import keyloom.llm.tokens as m
 
@@ -118,25 +121,63 @@ def test_token_files(spark, odd, empty):
     assert write_token_files(empty, scratch(spark, "t"), TOKENIZER).count() == 0
 
 
-def test_packing(spark, odd, empty):
-    want = sorted((repr(i), x) for i, x in encoded(rows_of(odd)))
-    rows = pack(odd, TOKENIZER).collect()
-    seqs = defaultdict(list)
+def check_packing(rows, docs, step):
+    """The whole contract of packing, of rows with token_ids, against the documents' ids."""
+    whole = defaultdict(list)
+    for i, x in encoded(docs):
+        whole[i].append(x)
+    seqs, parts = defaultdict(list), defaultdict(list)
     for r in rows:
+        assert r.length == len(r.token_ids) // 4 > 0
         seqs[r.sequence_id].append(r)
+        parts[r.doc_id].append(r)
     for rs in seqs.values():
         at = 0
         for r in sorted(rs, key=lambda r: r.offset):
-            assert r.offset == at and r.length > 0 and r.length == len(r.token_ids) // 4
+            assert r.offset == at
             at += r.length
-        assert at <= rs[0].tier and rs[0].tier in packing.TIERS
-    whole = [x for _, x in want]
-    assert sum(r.length for r in rows) == sum(map(len, whole)) // 4
-    single = [r for r in rows if r.doc_id == 8]
-    assert b"".join(bytes(r.token_ids) for r in sorted(single, key=lambda r: r.start)) == dict(want)["8"]
+        assert at <= rs[0].tier and rs[0].tier in packing.TIERS and len({(r.tier, r.step_group) for r in rs}) == 1
+    for i, xs in whole.items():
+        left = sorted(xs)
+        found = sorted(parts[i], key=lambda r: (r.start, bytes(r.token_ids)))
+        assert sum(r.length for r in found) * 4 == sum(map(len, left))
+        for x in left if len(left) == 1 else []:
+            assert b"".join(bytes(r.token_ids) for r in found) == x and {r.doc_tokens for r in found} == {len(x) // 4}
+            assert [r.start for r in found] == [0, *np.cumsum([r.length for r in found])[:-1]]
+        assert all(any(bytes(r.token_ids) == x[4 * r.start : 4 * (r.start + r.length)] and r.doc_tokens == len(x) // 4 for x in left) for r in found)
+    groups = defaultdict(lambda: defaultdict(set))
+    for r in rows:
+        groups[r.tier][r.step_group].add(r.sequence_id)
+    numbers = [g for by in groups.values() for g in by]
+    assert sorted(numbers) == list(range(len(numbers)))
+    for tier, by in groups.items():
+        sizes = [len(x) for x in by.values()]
+        assert max(sizes) - min(sizes) <= 1 and len(sizes) == max(1, round(sum(sizes) * tier / step))
+
+
+def test_packing(spark, odd, empty):
+    docs = rows_of(odd) + [(1000 + k, prose(R.choice([30, 150, 290, 600]))) for k in range(300)]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in docs], "doc_id long, text string, tier string, part int").repartition(3)
+    for step in (packing.STEP, 4096):
+        rows = pack(df, TOKENIZER, step=step).collect()
+        check_packing(rows, docs, step)
+    real = queries.table(spark, DIR, "documents")
+    check_packing(pack(real, TOKENIZER).collect(), rows_of(real), packing.STEP)
     assert pack(empty, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[600], [600, 300], [1, 2, 3], [513, 512], [5000, 129]])
+def test_packer_holds_less_than_a_window(sizes):
+    p = packing.Packer(0)
+    for k in range(3000):
+        p.add(k, bytes(4 * sizes[k % len(sizes)]))
+        if k % 100 == 99:
+            p.pack()
+            assert p.pending() < 1024
+    p.finish()
+    assert sum(r[2] for r in p.out) == sum(sizes[k % len(sizes)] for k in range(3000)) and not p.pending()
+
+
 def test_packer_fills_windows():
     p = packing.Packer(0)
     sizes = [R.randint(1, 3000) for _ in range(400)]
