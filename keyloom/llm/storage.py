@@ -64,6 +64,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession, path: str) -> None:
+    """Delete the temporary files (names that begin with .part-) that lost tasks left in a folder."""
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.part-*")
+    system = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(glob) or []:
+        system.delete(found.getPath(), True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every intermediate of this shared folder; call when results are saved."""
     remove(spark, f"{shared_root(spark)}/keyloom")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.storage import open_output, partitions
+from keyloom.llm.storage import open_output, partitions, sweep
 
 END = 0
 #: Sequences of a record batch.
@@ -79,7 +79,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, length: int = 20
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         system, base = open_output(path)
         names = [f"{base}/part-{part:06d}.{x}" for x in ("arrow", "index.arrow")]
-        temp = [f"{base}/.{uuid.uuid4().hex}.{x}" for x in ("a", "b")]
+        temp = [f"{base}/.part-{uuid.uuid4().hex}.{x}" for x in ("a", "b")]
         item = pa.uint16() if bits == 16 else pa.uint32()
         schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
         index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -135,6 +135,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, length: int = 20
             yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{root}/part-{part:06d}.arrow", "index": f"{root}/part-{part:06d}.index.arrow", "n_docs": docs, "n_tokens": total, "n_sequences": sequences}])
 
     parts = sorted(ordered.mapInArrow(write, "part long, file string, index string, n_docs long, n_tokens long, n_sequences long").collect())  # one row a partition
+    sweep(spark, path)
     rows, start = [], 0
     for p in parts:
         rows.append((*p, start))

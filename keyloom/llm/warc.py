@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each task streams its range into gzip files that roll
-at a compressed size. Headers, record ids and digests are made anew from the payload, so
-the same rows and settings give the same bytes. Files are written under temporary names and
-renamed; only those that the manifest names count. Of records with equal payloads the one
+Records are range-sorted by page_id, with splitters that follow from the rows alone and not
+from a sample; each task streams its range into gzip files that roll at a compressed size.
+Headers, record ids and digests are made anew from the payload, so the same rows and number
+of ranges give the same bytes. Files are written under temporary names and renamed; only
+those that the manifest names count, and what lost tasks left is deleted at the end. Of records with equal payloads the one
 with the largest page_id is the response, found by an aggregate over narrow digest rows;
 marker rows that sort just before their page tell the writer which records are revisits, so
 the payloads cross the network once.
@@ -21,9 +22,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.storage import open_output, partitions
+from keyloom.llm.ranges import dealt_by_range
+from keyloom.llm.storage import discard, materialize, open_output, partitions, sweep
 
-ROLL = 64 << 20
+#: Compressed bytes of a file, and bytes that a record counts besides its payload.
+ROLL, HEAD = 64 << 20, 600
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "part long, file string, n_records long, compressed_bytes long"
@@ -62,12 +65,17 @@ def write_warc(df: DataFrame, path: str, least: int = 0, roll: int = ROLL) -> Da
     """
     spark = df.sparkSession
     body = F.coalesce("html", F.lit("")).cast("binary")
+    tie = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
     pages = df.select(F.col("page_id").cast("long"), "url", body.alias("body")).withColumn("sha", F.unhex(F.sha2("body", 256)))
-    narrow = pages.filter(F.octet_length("body") >= least).select("page_id", "sha")
-    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marks = narrow.join(groups, "sha").select("page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "keep").distinct()
+    narrow = materialize(pages.select("page_id", "sha", tie.alias("tie"), F.octet_length("body").cast("long").alias("size")), "digests")
+    large = narrow.filter(F.col("size") >= least)
+    groups = large.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = large.join(groups, "sha").select("page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "keep").distinct()
     rows = marks.unionByName(pages.select("page_id", F.lit(1).alias("kind"), "sha", "url", "body", F.lit(None).cast("long").alias("keep")))
-    ordered = rows.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "sha", "kind", "url")
+    parts = partitions(spark)
+    weight = narrow.select("page_id", "tie", (F.col("size") + HEAD).alias("weight"))
+    to = dealt_by_range(rows.withColumn("tie", tie), weight, parts, "page_id", "tie", "weight")
+    ordered = to.drop("tie").repartitionById(parts, "to").sortWithinPartitions("page_id", "sha", "kind", "url")
 
     def write(batches):
         import pyarrow as pa
@@ -87,34 +95,32 @@ def write_warc(df: DataFrame, path: str, least: int = 0, roll: int = ROLL) -> Da
             done.append({"part": part, "file": f"{root}/{name}", "n_records": n, "compressed_bytes": size})
             sink, n, size = None, 0, 0
 
-        for b in batches:
-            ids, kinds, shas, urls, bodies, keeps = (b.column(c) for c in ("page_id", "kind", "sha", "url", "body", "keep"))
-            for i in range(b.num_rows):
-                key = (ids[i].as_py(), shas[i].as_py())
-                if kinds[i].as_py() == 0:
-                    mark = (key, keeps[i].as_py())
-                    again = 0
-                    continue
-                revisit = mark and mark[0] == key and (mark[1] != key[0] or again > 0)
-                k, again = (again, again + 1) if mark and mark[0] == key else (0, 0)
-                if sink is None:
-                    system.create_dir(base, recursive=True)
-                    temp = f"{base}/.{uuid.uuid4().hex}"
-                    sink = system.open_output_stream(temp, compression=None)
-                    info = b"software: keyloom\r\nformat: WARC File Format 1.1\r\n"
-                    size += sink.write(packed(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:keyloom:file:%d:%d>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (part, len(done), DATE.encode(), len(info), info))) or 0
-                payload = bodies[i].as_py()
-                data = packed(record(key[0], urls[i].as_py(), payload, digest(payload), (mark[1],) if revisit else None, k))
-                sink.write(data)
-                n, size = n + 1, size + len(data)
-                if size >= roll:
-                    close()
+        for p, kind, sha, url, payload, keep in (r for b in batches for k in range(0, b.num_rows, 64) for r in zip(*(b.column(c).slice(k, 64).to_pylist() for c in ("page_id", "kind", "sha", "url", "body", "keep")), strict=True)):
+            key = (p, sha)
+            if kind == 0:
+                mark, again = (key, keep), 0
+                continue
+            revisit = mark and mark[0] == key and (mark[1] != key[0] or again > 0)
+            k, again = (again, again + 1) if mark and mark[0] == key else (0, 0)
+            if sink is None:
+                system.create_dir(base, recursive=True)
+                temp = f"{base}/.part-{uuid.uuid4().hex}"
+                sink = system.open_output_stream(temp, compression=None)
+                info = b"software: keyloom\r\nformat: WARC File Format 1.1\r\n"
+                size += sink.write(packed(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:keyloom:file:%d:%d>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (part, len(done), DATE.encode(), len(info), info))) or 0
+            data = packed(record(p, url, payload, digest(payload), (mark[1],) if revisit else None, k))
+            sink.write(data)
+            n, size = n + 1, size + len(data)
+            if size >= roll:
+                close()
         if sink is not None:
             close()
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
     files = sorted(ordered.mapInArrow(write, FILES).collect())  # one row a file
+    sweep(spark, path)
+    discard(narrow)
     spark.createDataFrame(files, FILES).coalesce(1).write.json(f"{path.rstrip('/')}/manifest")
     return read_manifest(spark, path)
 

@@ -378,6 +378,35 @@ def test_warc(spark, empty):
     assert write_warc(df.limit(0), scratch(spark, "w")).count() == 0
 
 
+def test_warc_files_do_not_depend_on_the_input_partitions(spark):
+    import pathlib
+
+    df = spark.range(20_000).selectExpr("(id * 7919) % 20000 AS page_id", "concat('http://h/', id) AS url", "repeat(cast(id % 97 AS string), cast(id % 50 AS int)) AS html")
+
+    def digests(rows):
+        path = scratch(spark, "w")
+        write_warc(rows, path, roll=40_000)
+        folder = pathlib.Path(path.removeprefix("file://"))
+        assert len(list(folder.glob("part-*"))) > 4
+        return {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in folder.glob("part-*")}
+
+    assert digests(df.repartition(3)) == digests(df.repartition(11).orderBy("url"))
+
+
+@pytest.mark.parametrize("keys", ["even", "wide", "nulls", "hot", "one", "ends"])
+def test_ranges(spark, keys):
+    from keyloom.llm.ranges import dealt_by_range
+
+    key = {"even": lambda k: k, "wide": lambda k: R.getrandbits(64) - (1 << 63), "nulls": lambda k: None if k % 3 else k, "hot": lambda k: 7 if k % 3 else k * 10**14, "one": lambda k: 7, "ends": lambda k: (1 << 63) - 1 if k % 2 else -(1 << 63)}[keys]
+    df = spark.createDataFrame([(key(k), R.getrandbits(32), R.randint(1, 9)) for k in range(3000)], "key long, tie long, size long")
+    a, b = (sorted(((r.key is not None, r.key or 0, r.tie, r.to, r.size) for r in dealt_by_range(d, d, 7, "key", "tie", "size").collect())) for d in (df.repartition(1), df.repartition(3)))
+    assert a == b and len(a) == 3000 and [r[3] for r in a] == sorted(r[3] for r in a)
+    sums = defaultdict(int)
+    for r in a:
+        sums[r[3]] += r[4]
+    assert set(sums) == set(range(7)) and max(sums.values()) <= 1.2 * sum(sums.values()) / 7
+
+
 def test_flow_is_cheapest():
     import itertools
 
