@@ -80,20 +80,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-#: The present layout that op8 starts from: shards by a hash of the source.
+#: The present layout that op8 starts from: shards by a hash of the text.
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keyloom.llm.sharding import read_shards, reshard
+    from keyloom.llm.sharding import read_shards, reshard, slots
     from keyloom.llm.storage import scratch
 
     path = scratch(spark, "shards")
-    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
-    reshard(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, NEW_SHARDS, old, OLD_SHARDS)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    narrow = spark.read.parquet(path).select("doc_id", "size", crc.alias("text_crc32"), "h", "shard")
-    return read_shards(spark, path, narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(OLD_SHARDS))
+    kept = reshard(table(spark, sf_dir, "documents").select("doc_id", "text"), path, NEW_SHARDS, old, OLD_SHARDS)
+    crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
+    narrow = read_shards(spark, path, kept).select("row.doc_id", "size", crc.alias("text_crc32"), "h", "shard")
+    return slots(narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from keyloom.llm.decontamination import contamination, decontaminate
 from keyloom.llm.exact_dedup import content_groups, deduplicate
 from keyloom.llm.ngram_join import shingle_sets, similar_components
 from keyloom.llm.packing import pack
-from keyloom.llm.sharding import affected, capacities, read_shards, reshard
+from keyloom.llm.sharding import capacities, read_shards, reshard, slots
 from keyloom.llm.storage import scratch
 from keyloom.llm.substring_dedup import remove_repeats, sorted_nodes
 from keyloom.llm.token_files import TokenFile, read_documents, read_manifest, write_token_files
@@ -425,20 +425,79 @@ def test_flow_is_cheapest():
             assert sum(x * c[i][j] for (i, j), x in got.items()) == best
 
 
+def test_transfers_move_the_least():
+    for _ in range(200):
+        a = [R.randint(0, 9) for _ in range(R.randint(1, 6))]
+        m = R.randint(1, 6)
+        b = capacities(sum(a), m)
+        got = flow.transfers(a, b)
+        assert [sum(x for (i, _), x in got.items() if i == k) for k in range(len(a))] == a
+        assert [sum(x for (_, j), x in got.items() if j == k) for k in range(m)] == b
+        assert sum(x for (i, j), x in got.items() if i == j) == sum(min(x, y) for x, y in zip(a, b))
+
+
+def check_shards(rows, docs, n):
+    """Every row once, sizes and checksums of the texts, gapless slots, shards of near equal bytes."""
+    assert sorted((repr(r.doc_id), r.size, r.crc) for r in rows) == sorted((repr(i), len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in docs)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert set(by) <= set(range(n))
+    for rs in by.values():
+        assert sorted(r.slot for r in rs) == list(range(len(rs)))
+    return [sum(r.size for r in by[j]) for j in range(n)]
+
+
+def resharded(spark, df, n, old, n_old, capacity=None):
+    path = scratch(spark, "s")
+    kept = reshard(df, path, n, old, n_old, capacity)
+    rows = read_shards(spark, path, kept).select("row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("crc"), "h", "shard", "row")
+    return slots(rows).collect(), kept
+
+
 def test_resharding(spark, odd, empty):
+    docs = odd.withColumn("shard", F.lit("clash")).withColumn("h", F.lit(1.5)).withColumn("old", F.lit("o"))
+    rows, _ = resharded(spark, docs, 5, F.pmod(F.xxhash64("doc_id"), F.lit(3)), 3)
+    check_shards(rows, rows_of(odd), 5)
+    assert all((r.row.shard, r.row.h, r.row.old, r.row.size) == ("clash", 1.5, "o", "s") for r in rows)
+    assert resharded(spark, empty, 3, F.lit(0), 2)[0] == [] and sum(capacities(17, 5)) == 17
+
+
+def test_shards_are_equal_and_groups_stay_together(spark):
+    docs = [(k, prose(R.choice([3, 30, 300] if k < 40 else [3, 30, 300, 1500]))) for k in range(1500)]
+    docs += [(2000 + k, docs[k % 40][1]) for k in range(200)] + [(3000 + k, "hot " * 50) for k in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, _ = resharded(spark, df, 12, F.pmod(F.xxhash64("text"), F.lit(9)), 9)
+    sizes = check_shards(rows, docs, 12)
+    mean = sum(sizes) / 12
+    assert max(abs(x - mean) for x in sizes) < 0.01 * mean
+    text = dict(docs)
+    where = defaultdict(set)
+    for r in rows:
+        where[text[r.doc_id]].add(r.shard)
+    assert len(where.pop("hot " * 50)) > 1 and all(len(x) == 1 for x in where.values())
+
+
+def test_only_affected_shards_are_written(spark):
+    import pathlib
+
+    docs = [(k, "x" * 84) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # Shards 0 to 2 hold 10 rows each and keep them; shard 3 shares its 30 with two new ones.
     path = scratch(spark, "s")
-    docs = odd.withColumn("shard", F.lit("clash"))
-    blocks = reshard(docs, path, 5, F.pmod(F.xxhash64("text"), F.lit(3)), 3)
-    rows = read_shards(spark, path).select("doc_id", "text", "size", "shard", "slot").collect()
-    assert sorted((repr(r.doc_id), r.text or "") for r in rows) == sorted((repr(i), t) for i, t in rows_of(odd))
-    for j in {r.shard for r in rows}:
-        assert sorted(r.slot for r in rows if r.shard == j) == list(range(sum(r.shard == j for r in rows)))
-    assert all(r.size == len((r.text or "").encode()) + 16 for r in rows)
-    assert affected(blocks) <= set(range(5)) and sum(capacities(17, 5)) == 17
-    many = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 as int)) AS text")
-    reshard(many, (p := scratch(spark, "s")), 8, F.pmod("doc_id", F.lit(3)), 3)
-    sizes = [r.b for r in read_shards(spark, p).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
-    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 200
+    kept = reshard(df, path, 6, F.least(F.floor(F.col("doc_id") / 10), F.lit(3)), 4)
+    names = {f.name for f in pathlib.Path(path.removeprefix("file://")).glob("shard=*")}
+    assert names == {"shard=3", "shard=4", "shard=5"}
+    assert sorted((r.shard, r.doc_id) for r in kept.select("shard", "row.doc_id").collect()) == [(k // 10, k) for k in range(30)]
+    assert sorted(r.doc_id for r in read_shards(spark, path, kept).select("row.doc_id").collect()) == list(range(60))
+
+
+def test_sharding_query(spark):
+    got = queries.op8_sharding(spark, "/root/testdata/sf0.01").withColumnRenamed("text_crc32", "crc").collect()
+    docs = rows_of(queries.table(spark, "/root/testdata/sf0.01", "documents"))
+    sizes = check_shards(got, docs, 40)
+    mean = sum(sizes) / 40
+    assert max(abs(x - mean) for x in sizes) <= 0.035 * mean and sorted(abs(x - mean) for x in sizes)[-2] < 0.01 * mean
 
 
 def test_toxicity(spark, odd):
