@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.storage import open_output, partitions, sweep
 
-END = 0
+#: The id that closes a document: 0, in 4 bytes.
+CLOSE = bytes(4)
 #: Sequences of a record batch.
 ROWS = 256
 
@@ -112,14 +113,13 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, length: int = 20
             column, at = b.column("text"), 0
             while at < b.num_rows:
                 texts = column.slice(at, 512).to_pylist()
-                counts = []
-                for ids in enc.encode(texts):
-                    x = np.frombuffer(ids, "<u4")
-                    if bits == 16 and len(x) and x.max() > 0xFFFF:
-                        raise ValueError("an id needs more than 16 bits")
-                    held.append(np.append(x.astype(kind), np.array([END], kind)))
-                    counts.append(len(x) + 1)
-                size += sum(counts)
+                found = enc.encode(texts)
+                counts = [len(x) // 4 + 1 for x in found]
+                ids = np.frombuffer(b"".join([x + CLOSE for x in found]), "<u4")
+                if bits == 16 and ids.max() > 0xFFFF:
+                    raise ValueError("an id needs more than 16 bits")
+                held.append(ids.astype(kind))
+                size += len(ids)
                 starts = total + np.concatenate([[0], np.cumsum(counts)[:-1]])
                 writers[1].write_batch(pa.record_batch([b.column("doc_id").slice(at, len(texts)).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index_schema))
                 total, docs, at = total + sum(counts), docs + len(texts), at + len(texts)

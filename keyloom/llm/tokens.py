@@ -12,7 +12,8 @@ import json
 import re
 from array import array
 
-MEMO = 700_000
+#: Most pieces that are remembered, and letters of a piece of several runs that still is.
+MEMO, SHORT = 900_000, 14
 #: Characters of one slice of a long text.
 SLICE = 1 << 20
 #: Pieces of these characters fall apart into runs of letters, of digits, of signs and single
@@ -54,6 +55,8 @@ class Memo(dict):
                 out = self._run(shown if lead else f"Ġ{shown}")
             else:
                 out = self[f"\0{r[0]}" if lead else r[0]] + b"".join([self[f"\0{x}"] for x in r[1:]])
+                if len(y) > SHORT:
+                    return out
         else:
             out = array("I", self.tok.encode(core if lead else f" {core}", add_special_tokens=False).ids).tobytes()
         self[y] = out
@@ -79,8 +82,8 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        #: Texts with one of these, or a zero byte, go to the library whole.
-        self.special = re.compile("|".join(map(re.escape, ["\0", *(t["content"] for t in spec.get("added_tokens") or [])])))
+        #: Texts with one of these go to the library whole.
+        self.special = ["\0", *(t["content"] for t in spec.get("added_tokens") or [])]
         self.memo = Memo(self.tok)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -109,7 +112,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return self._ids(texts)
-        return [self._ids([t])[0] if self.special.search(t) else self._cut(t) for t in texts]
+        return [self._ids([t])[0] if any(x in t for x in self.special) else self._cut(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
