@@ -3,8 +3,8 @@
 Lexicon transducers turn words into the symbols of a clause: insult, threat, target,
 negation, reported speech, boundary or other. Grammar transducers rewrite the symbols in
 turn (negation cancels what it governs, reported speech marks what it introduces, a target
-near an insult or threat binds to it) and are composed into one deterministic machine, which
-counts the kinds of clauses it accepts. The weights of the kinds come from a logistic
+shortly before or after an insult or threat binds to it) and are composed into one
+deterministic machine, which counts the kinds of clauses it accepts. The weights of the kinds come from a logistic
 regression on the labelled rows of the training folds. The insult lexicon is given words and
 the word beginnings whose presence in the training rows goes with the label; their counts
 cover all rows of the bounded sample that the model is fitted to.
@@ -21,25 +21,32 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.storage import materialize
 
-#: Seed words of the lexicons.
-INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
-THREATS = "kill hurt destroy shoot stab strangle burn beat".split()
-TARGETS = "you your youre u he she they them him her these those".split()
-NEGATIONS = "not no never nor neither without isnt arent dont doesnt cannot".split()
-REPORTS = "said says wrote writes claimed claims called calls quoted reported".split()
+#: Seed words of the lexicons, in English, German, French and Spanish; letters
+#: and digits only, so contractions stand without their apostrophe.
+INSULTS = """idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown
+idiotin dumm trottel abschaum versager idiote imbécile stupide raclure minable idiota imbécil estúpido escoria""".split()
+THREATS = """kill hurt destroy shoot stab strangle burn beat
+töten umbringen schlagen erschießen tuer frapper brûler matar golpear quemar""".split()
+TARGETS = """you your youre youll u he she they them him her these those
+du dich dir ihr euch sie ihn tu toi vous lui eux ils elle elles tú ti usted ustedes él ella ellos ellas""".split()
+NEGATIONS = """not no never nor neither without isnt arent wasnt dont doesnt didnt wont cant cannot
+nicht kein keine keinen nie niemals ohne ne pas jamais aucun sans ni nunca jamás ningún sin""".split()
+REPORTS = """said says wrote writes claimed claims called calls quoted reported
+sagte sagt schrieb nannte behauptete dit disait écrit appelé dijo dice escribió llamó""".split()
 
 #: Lengths of learned word beginnings (32: whole words), least log likelihood ratio against
-#: the label's overall rate, and most beginnings kept.
-STEMS, EVIDENCE, LEXICON = (4, 5, 6, 32), 16.0, 4096
+#: the label's overall rate, and most beginnings kept (those of the most evidence).
+STEMS, EVIDENCE, LEXICON = (4, 5, 6, 32), 8.0, 16_384
 #: Bound on the labelled rows that the model is fitted to, taken by a hash of doc_id; their
 #: ids and labels are broadcast, so the corpus isn't shuffled.
 SAMPLE = 40_000
-#: Words that a negation or a report governs, and that a target reaches.
+#: Words that a negation or a report governs, and that a target reaches on either side.
 REACH = 3
 
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "boundary")
 KINDS = ("insult", "threat", "bound_insult", "bound_threat", "negated", "reported")
-_word = re.compile(r"[^\W_]+|[.!?;\n]+")
+_word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;\n]+")
+_apostrophe = re.compile("['’]")
 
 
 class Transducer:
@@ -95,18 +102,30 @@ def governing(opener: str, result: str, most: int) -> Transducer:
 
 
 def binding(most: int) -> Transducer:
-    """Binds an insult or threat to a target at most `most` symbols before it."""
+    """Binds an insult or threat to a target at most `most` symbols before or after it.
 
-    def step(left, s):
+    The state is how far the last target still reaches and the unbound insults and threats
+    that wait for one, with the symbols they still wait; a boundary ends all of it.
+    """
+
+    def step(state, s):
+        left, waiting = state
         if s == "target":
-            return most, ()
+            return (most, ()), tuple(f"bound_{k}" for k, _ in waiting)
         if s == "boundary":
-            return 0, ()
+            return (0, ()), tuple(k for k, _ in waiting)
+        out = [k for k, n in waiting if n == 1]
+        waiting = tuple((k, n - 1) for k, n in waiting if n > 1)
         if s in ("insult", "threat"):
-            return max(0, left - 1), (f"bound_{s}" if left else s,)
-        return max(0, left - 1), ((s,) if s in KINDS else ())
+            if left:
+                out.append(f"bound_{s}")
+            else:
+                waiting += ((s, most),)
+        elif s in KINDS:
+            out.append(s)
+        return (max(0, left - 1), waiting), tuple(out)
 
-    return Transducer(0, step)
+    return Transducer((0, ()), step)
 
 
 @lru_cache
@@ -130,15 +149,21 @@ class Lexicon:
         self.insult, self.boundary = code["insult"], code["boundary"]
 
     def symbol(self, word: str) -> int:
-        if word in self.given:
-            return self.given[word]
-        if word in self.whole or any(word[:n] in self.stems[n] for n in self.lengths if len(word) >= n):
-            return self.insult
-        return self.boundary if word[0] in ".!?;\n" else 0
+        if word[0] in ".!?;\n":
+            return self.boundary
+        parts = _apostrophe.split(word)
+        if len(parts) > 1 and (found := self.given.get("".join(parts))) is not None:
+            return found
+        for part in parts:
+            if (found := self.given.get(part)) is not None:
+                return found
+            if part in self.whole or any(part[:n] in self.stems[n] for n in self.lengths if len(part) >= n):
+                return self.insult
+        return 0
 
 
 def clause_counts(text: str, lexicon: Lexicon, memo: dict) -> tuple[int, list[int]]:
-    """Number of words, and of each kind of clause."""
+    """Number of words and boundaries, and of each kind of clause; the text's end is a boundary."""
     counts, state, table, n = dict.fromkeys(KINDS, 0), 0, grammar(), 0
     for w in _word.findall(text.lower()):
         if (s := memo.get(w)) is None:
@@ -149,6 +174,8 @@ def clause_counts(text: str, lexicon: Lexicon, memo: dict) -> tuple[int, list[in
         state, out = table[state][s]
         for k in out:
             counts[k] += 1
+    for k in table[state][lexicon.boundary][1]:
+        counts[k] += 1
     return n, list(counts.values())
 
 
@@ -175,8 +202,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
 DEFAULT = np.array([0.5, 0.5, 1.0, 1.0, 0.0, 0.0, 0.5, 2.5, -3.0])
 
 
-def learned_stems(train: DataFrame) -> dict[str, float]:
-    """Word beginnings with their log likelihood ratio; train has text and toxic (0 or 1)."""
+def learned_stems(train: DataFrame, most: int = LEXICON) -> dict[str, float]:
+    """Word beginnings with their log likelihood ratio; train has text and toxic (0 or 1).
+
+    Of those with EVIDENCE or more, the `most` with the largest ratio; ties in order of name.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
     keys = F.array_distinct(F.flatten(F.transform(words, lambda w: F.filter(F.array(*[F.when(F.char_length(w) >= (n if n < STEMS[-1] else 3), F.concat(F.lit(f"{n}:"), F.substring(w, 1, n))) for n in STEMS]), lambda x: x.isNotNull()))))
     # Copies of a text are one witness.
@@ -190,7 +220,7 @@ def learned_stems(train: DataFrame) -> dict[str, float]:
     t, c = F.col("t"), F.col("c")
     ratio = t * F.log(t / (t + c) / rate) + F.when(c > 0, c * F.log(F.greatest(c, F.lit(1)) / (t + c) / (1 - rate))).otherwise(0.0)
     good = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= EVIDENCE)
-    return {r.key: r.ratio for r in good.orderBy(F.desc("ratio"), "key").limit(LEXICON).collect()}
+    return {r.key: r.ratio for r in good.orderBy(F.desc("ratio"), "key").limit(most).collect()}
 
 
 def _counted(df: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -212,17 +242,19 @@ def _counted(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     return df.mapInArrow(run, f"{kept}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LEXICON):
     """(learned beginnings, weights) from labelled rows outside the held-out fold.
 
-    docs has doc_id and text, labels doc_id and toxic; rows with a null or other label are
-    left out. Held out are ids whose crc32 as text is divisible by 5.
+    docs has doc_id and text, labels doc_id and toxic; rows with a null or other label and ids
+    with labels that disagree are left out. Held out are ids whose crc32 as text is divisible
+    by 5. The model is fitted to at most `sample` labelled rows and `most` beginnings. Without
+    rows of both labels the weights are DEFAULT.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.filter(F.col("toxic").isin(0, 1) & (fold != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most")).filter("toxic = most").drop("most")
     some = known.orderBy(F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(sample)
     rows = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id"), "labelled")
-    stems = learned_stems(rows)
+    stems = learned_stems(rows, most)
     got = _counted(rows.select("toxic", "text"), Lexicon(stems)).collect()  # a few numbers for each row of the sample
     y = np.array([r.toxic for r in got], float)
     if len(set(y.tolist())) < 2:

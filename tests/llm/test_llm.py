@@ -508,6 +508,12 @@ def test_toxicity(spark, odd):
     assert kinds("not an idiot") == {"negated": 1}
     assert kinds("they said idiot") == {"reported": 1}
     assert kinds("you will kill") == {"bound_threat": 1}
+    assert kinds("i will kill you") == {"bound_threat": 1} and kinds("kill them all") == {"bound_threat": 1}
+    assert kinds("idiot you are") == {"bound_insult": 1} and kinds("an idiot and a b you") == {"insult": 1}
+    assert kinds("don't hurt") == {"negated": 1} and kinds("he isn’t a moron") == {"negated": 1}
+    assert kinds("nicht dumm") == kinds("pas stupide") == kinds("nunca estúpido") == {"negated": 1}
+    assert kinds("du trottel") == kinds("l'idiot, toi") == {"bound_insult": 1} and kinds("il a dit idiot") == {"reported": 1}
+    assert kinds("kill idiot") == {"insult": 1, "threat": 1} and kinds("kill idiot you") == {"bound_insult": 1, "bound_threat": 1}
     assert kinds("vequabc") == {"insult": 1}
     docs = [(k, prose(20) + (" you idiot scum" if k % 3 == 0 else "")) for k in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -520,6 +526,71 @@ def test_toxicity(spark, odd):
     assert toxicity.train(df, labels.limit(0))[1] is toxicity.DEFAULT
 
 
+def plain_kinds(words, reach=3):
+    """Counts of the kinds of clauses by plain Python over (word, symbol) lists of one clause each."""
+    counts = dict.fromkeys(toxicity.KINDS, 0)
+    for clause in words:
+        for opener, result in (("negation", "negated"), ("report", "reported")):
+            kept, left = [], 0
+            for s in clause:
+                if s == opener:
+                    left = reach
+                    continue
+                kept.append(result if left and s in ("insult", "threat") else s)
+                left = max(0, left - 1)
+            clause = kept
+        targets = [k for k, s in enumerate(clause) if s == "target"]
+        for k, s in enumerate(clause):
+            if s in ("insult", "threat"):
+                near = any(0 < k - t <= reach or 0 < t - k <= reach for t in targets)
+                counts[f"bound_{s}" if near else s] += 1
+            elif s in ("negated", "reported"):
+                counts[s] += 1
+    return list(counts.values())
+
+
+def test_grammar_and_scores_equal_plain_python(spark, odd):
+    stems = {"4:vequ": 9.0, "32:zorb": 9.0}
+    lex = toxicity.Lexicon(stems)
+    vocab = "idiot kill you not said word other vequabc zorb zorbs they isn't d'idiot".split()
+    texts = [" ".join(R.choice(vocab) + R.choice(["", "", "", ".", "!?", "\n"]) for _ in range(R.randint(0, 25))) for _ in range(400)]
+    name = {"idiot": "insult", "kill": "threat", "you": "target", "they": "target", "not": "negation", "isn't": "negation", "said": "report", "vequabc": "insult", "zorb": "insult", "d'idiot": "insult"}
+
+    def counted(t):
+        clauses, n = [[]], 0
+        for chunk in t.split():
+            w = chunk.rstrip(".!?")
+            clauses[-1].append(name.get(w, "other"))
+            n += 1 + (w != chunk)
+            if w != chunk:
+                clauses.append([])
+        return n, plain_kinds(clauses)
+
+    texts = [t.replace("\n", " ") for t in texts]
+    assert [toxicity.clause_counts(t, lex, {}) for t in texts] == [counted(t) for t in texts]
+    weights = np.array([0.3, 0.4, 1.5, 1.7, -0.2, 0.1, 0.6, 2.0, -3.0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, (stems, weights)).collect():
+        n, c = counted(texts[r.doc_id])
+        x = [*np.log1p(c), np.log1p(1000 * sum(c[:4]) / max(n, 1)), float(sum(c[:4]) > 0)]
+        assert abs(r.score - 1 / (1 + np.exp(-(np.dot(x, weights[:-1]) + weights[-1])))) < 1e-9
+    assert toxicity.score(odd.limit(0), (stems, weights)).count() == 0
+
+
+def test_conflicting_labels_are_left_out(spark):
+    df = spark.createDataFrame([(k, f"w{k} " + ("zorb" if k % 2 else "fine")) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(k, 1 - k % 2) for k in range(0, 200, 20)] + [(1, 1), (1, 1)], "doc_id long, toxic int")
+    a, b = (toxicity.train(df, labels.repartition(p)) for p in (1, 5))
+    assert a[0] == b[0] and np.allclose(a[1], b[1]) and "32:zorb" in a[0]
+    assert len(toxicity.train(df, labels, most=1)[0]) == 1
+
+
+def test_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op7_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.9 and np.mean([r.predicted for r in rows if r.toxic == 0]) <= 0.01
+
+
 def test_held_out_accuracy(spark):
     rows = queries.op7_toxicity(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     y, s = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
