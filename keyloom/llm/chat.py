@@ -7,15 +7,19 @@ tokens: prefix sums of the turns' token counts choose turn-aligned spans; every
 begins with the conversation's leading system turns, then repeats up to `history` tokens of
 the turns before its span. Only a span's own assistant texts are targets, so each assistant
 text is a target once, and repeated targets are masked. A turn that is larger than the
-budget makes a window of its own, which then exceeds it; no turn is ever cut.
+budget makes a window of its own, which then exceeds it; no turn is ever cut. System turns
+that leave less than LEAST tokens of the budget count with it only up to there, so that they
+are still in every window, which then exceeds the budget by them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
+#: Tokens that a window has besides the system turns at least; starts of windows held in a part.
+LEAST, PART = 64, 256
 
 
 def escape(c: Column, role: bool = False) -> Column:
@@ -48,8 +52,9 @@ def chat_windows(df: DataFrame, budget: int = 512, history: int = 128) -> DataFr
     An empty table has no windows.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = df.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), turn_tokens(text).alias("n")).alias("u"))
-    conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("u")).alias("u"))
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    turns = df.select("conv_id", "turn", role.alias("role"), text.alias("text"), turn_tokens(text).alias("n")).withColumn("end", F.sum("n").over(by))
+    conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n", "end"))).alias("u"))
     # Leading system turns, and the rest with prefix sums of their tokens.
     lead = F.aggregate("u", F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda a, x: F.struct((a["k"] + F.when(a["on"] & (x["role"] == "system"), 1).otherwise(0)).alias("k"), (a["on"] & (x["role"] == "system")).alias("on")), lambda a: a["k"])
     conv = conv.withColumn("k", lead).select(
@@ -57,34 +62,58 @@ def chat_windows(df: DataFrame, budget: int = 512, history: int = 128) -> DataFr
         F.slice("u", F.lit(1), F.col("k")).alias("sys"),
         F.slice("u", F.col("k") + 1, F.greatest(F.size("u") - F.col("k"), F.lit(0))).alias("u"),
     )
-    room = F.greatest(F.lit(budget) - F.aggregate("sys", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(1))
-    conv = conv.withColumns({"room": room, "ends": F.aggregate("u", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x["n"])))})
-    # A span ends before the turn whose prefix sum passes the room that history leaves.
+    said = F.coalesce(F.try_element_at(F.col("sys"), F.lit(-1))["end"], F.lit(0))
+    conv = conv.withColumns({"room": F.greatest(F.lit(budget) - said, F.lit(min(LEAST, budget))), "ends": F.transform("u", lambda x: x["end"] - said)})
+    # A span ends before the turn whose prefix sum passes the room that history leaves. Starts
+    # are gathered in parts, so that a long conversation doesn't copy all of them at every step.
+    none = F.array().cast("array<int>")
+    state = lambda parts, part, base, limit: F.struct(parts.alias("parts"), part.alias("part"), base.cast("long").alias("base"), limit.cast("long").alias("limit"))
+    later = F.greatest(F.col("room") - history, F.lit(1))
     step = F.aggregate(
-        F.sequence(F.lit(1), F.size("u")),
-        F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("base")),
+        F.sequence(F.lit(2), F.greatest(F.size("u"), F.lit(2))),
+        state(F.array().cast("array<array<int>>"), F.array(F.lit(1)), F.lit(0), F.col("room")),
         lambda a, i: F.when(
-            (F.size(a["starts"]) == 0) | (F.try_element_at(F.col("ends"), i) - a["base"] > F.when(F.size(a["starts"]) <= 1, F.col("room")).otherwise(F.greatest(F.col("room") - history, F.lit(1)))),
-            F.struct(F.concat(a["starts"], F.array(i)).alias("starts"), F.when(i == 1, F.lit(0).cast("long")).otherwise(F.try_element_at(F.col("ends"), F.greatest(i - 1, F.lit(1)))).alias("base")),
+            F.try_element_at(F.col("ends"), i) - a["base"] > a["limit"],
+            F.when(
+                F.size(a["part"]) < PART,
+                state(a["parts"], F.concat(a["part"], F.array(i)), F.try_element_at(F.col("ends"), i - 1), later),
+            ).otherwise(state(F.concat(a["parts"], F.array(a["part"])), F.array(i), F.try_element_at(F.col("ends"), i - 1), later)),
         ).otherwise(a),
-        lambda a: a["starts"],
+        lambda a: F.concat(F.flatten(a["parts"]), F.coalesce(a["part"], none)),
     )
     conv = conv.withColumn("starts", F.when(F.size("u") == 0, F.array(F.lit(1))).otherwise(step))
-    win = conv.select("*", F.posexplode("starts").alias("window_id", "first"))
-    last = F.coalesce(F.try_element_at(F.col("starts"), F.col("window_id") + 2) - 1, F.size("u"))
-    before = F.when(F.col("first") > 1, F.try_element_at(F.col("ends"), F.greatest(F.col("first") - 1, F.lit(1)))).otherwise(F.lit(0))
-    win = win.withColumns({"last": last, "before": before})
-    used = F.when(F.col("last") >= F.col("first"), F.try_element_at(F.col("ends"), F.greatest("last", F.lit(1)))).otherwise(F.lit(0)) - F.col("before")
-    spare = F.least(F.lit(history), F.col("room") - used)
-    held = F.size(F.filter("ends", lambda e: (e < F.col("before")) & (F.col("before") - e <= spare)))
+    # Windows are cut out of the conversation before they become rows; a row holds its window only.
+    one = F.lit(1)
+    bounds = F.transform("starts", lambda first, w: F.struct(w.alias("w"), first.alias("first"), F.coalesce(F.try_element_at(F.col("starts"), w + 2) - 1, F.size("u")).alias("last")))
+    sums = F.transform(
+        "bounds",
+        lambda b: F.struct(
+            b["w"].alias("w"), b["first"].alias("first"), b["last"].alias("last"),
+            F.coalesce(F.try_element_at(F.col("ends"), F.greatest(b["first"] - 1, one)), F.lit(0)).alias("before"),
+            F.coalesce(F.try_element_at(F.col("ends"), F.greatest(b["last"], one)), F.lit(0)).alias("through"),
+        ),
+    )
+    # Turns have four tokens or more, so so many are all that history can hold.
+    most = history // 4 + 1
+    spare = lambda b: F.least(F.lit(history), F.col("room") - (b["through"] - b["before"]))
     # Turn j is repeated if the tokens from j to the span fit; when all before fit, turn 1 is too.
-    back = F.when(F.col("before") == 0, 0).otherwise(F.when(F.col("before") <= spare, F.col("first") - 1).otherwise(held)).cast("int")
-    win = win.withColumn("back", back)
-    mark = lambda c, repeated, target: F.transform(c, lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"), x["n"].alias("n"), F.lit(repeated).alias("repeated"), (F.lit(target) & (x["role"] == "assistant")).alias("target")))
-    system = F.transform("sys", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"), x["n"].alias("n"), (F.col("window_id") > 0).alias("repeated"), F.lit(False).alias("target")))
-    old = mark(F.slice("u", F.greatest(F.col("first") - F.col("back"), F.lit(1)), F.col("back")), True, False)
-    own = mark(F.slice("u", F.col("first"), F.greatest(F.col("last") - F.col("first") + 1, F.lit(0))), False, True)
-    win = win.select("conv_id", F.col("window_id").cast("long").alias("window_id"), F.concat(system, old, own).alias("all"))
+    held = lambda b: F.size(F.filter(F.slice("ends", F.greatest(b["first"] - 1 - most, one), F.least(b["first"] - 1, F.lit(most + 1))), lambda e: (e < b["before"]) & (b["before"] - e <= spare(b))))
+    back = lambda b: F.when(b["first"] == 1, 0).when(b["before"] <= spare(b), b["first"] - 1).otherwise(held(b))
+    mark = lambda c, repeated, target: F.transform(c, lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"), x["n"].alias("n"), repeated.alias("repeated"), (F.lit(target) & (x["role"] == "assistant")).alias("target")))
+    cut = F.transform(
+        "backs",
+        lambda b: F.struct(
+            b["w"].cast("long").alias("window_id"),
+            F.concat(
+                mark(F.col("sys"), b["w"] > 0, False),
+                mark(F.slice("u", F.greatest(b["first"] - b["back"], one), b["back"]), F.lit(True), False),
+                mark(F.slice("u", b["first"], F.greatest(b["last"] - b["first"] + 1, F.lit(0))), F.lit(False), True),
+            ).alias("all"),
+        ),
+    )
+    conv = conv.withColumn("bounds", bounds).withColumn("bounds", sums)
+    conv = conv.withColumn("backs", F.transform("bounds", lambda b: F.struct(b["w"].alias("w"), b["first"].alias("first"), b["last"].alias("last"), back(b).cast("int").alias("back"))))
+    win = conv.select("conv_id", F.explode(cut).alias("c")).select("conv_id", "c.*")
     head = lambda x: F.concat(F.lit("### "), escape(x["role"], True), F.lit(": "))
     placed = F.aggregate(
         "all",

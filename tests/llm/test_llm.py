@@ -217,6 +217,52 @@ def test_chat_round_trip(spark):
     assert chat_windows(df.limit(0)).count() == 0
 
 
+def plain_windows(turns, budget, history):
+    """[(text, n_tokens, [(role, repeated, target)])] of a conversation of sorted (turn, role, text)."""
+    import regex
+
+    escape = lambda t, role=False: "".join({"\\": "\\b", "#": "\\h", "<": "\\l"}.get(c, "\\c" if role and c == ":" else c) for c in t)
+    cost = lambda t: len(regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]", t)) + 4
+    k = next((k for k, t in enumerate(turns) if t[1] != "system"), len(turns))
+    lead, rest = turns[:k], turns[k:]
+    n = [cost(t[2]) for t in rest]
+    room = max(budget - sum(cost(t[2]) for t in lead), min(64, budget))
+    spans, at = [], 0
+    while at < len(rest) or not spans:
+        limit, stop = room if not spans else max(room - history, 1), at + 1
+        while stop < len(rest) and sum(n[at : stop + 1]) <= limit:
+            stop += 1
+        spans.append((at, min(stop, len(rest))))
+        at = stop
+    out = []
+    for w, (a, z) in enumerate(spans):
+        spare, back = min(history, room - sum(n[a:z])), 0
+        while a - back > 0 and sum(n[a - back - 1 : a]) <= spare:
+            back += 1
+        held = [(*t, w > 0, False) for t in lead] + [(*t, True, False) for t in rest[a - back : a]] + [(*t, False, t[1] == "assistant") for t in rest[a:z]]
+        out.append(("".join(f"### {escape(r, True)}: {escape(t)}</turn>\n" for _, r, t, _, _ in held), sum(cost(t) for _, _, t, _, _ in held), [(r, m, g) for _, r, _, m, g in held]))
+    return out
+
+
+def test_chat_windows_equal_plain_python(spark):
+    rows = []
+    for c in range(60):
+        for k in range(R.randint(1, 30)):
+            role = R.choice(["system", "user", "assistant"]) if k < 2 else R.choice(["user", "assistant", None, "a:#"])
+            rows.append((c, R.choice([k, None, 3]), role, R.choice([None, "", prose(R.randint(1, 60)), "é#<\\ x", prose(300) if k == 5 else "ok"]), "x"))
+    rows += [(100, 0, "system", prose(400), "x"), (100, 1, "user", "hi", "x"), (100, 2, "assistant", prose(90), "x"), (100, 3, "assistant", prose(9), "x")]
+    rows += [(101, 0, "user", "same", "x")] * 50 + [(None, 1, "user", "n", "x"), (None, 0, "assistant", "m", "x")]
+    rows += [(102, k, "user" if k % 2 == 0 else "assistant", "a b", "x") for k in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, room string").repartition(5)
+    for budget, history in ((200, 60), (40, 39)):
+        got = defaultdict(list)
+        for r in chat_windows(df, budget, history).orderBy("conv_id", "window_id").collect():
+            got[r.conv_id].append((r.text, r.n_tokens, [(t.role, t.repeated, t.target) for t in r.turns]))
+        for c in {r[0] for r in rows}:
+            turns = sorted(((t is not None, t or 0), r or "", x or "") for i, t, r, x, _ in rows if i == c)
+            assert got[c] == plain_windows(turns, budget, history), c
+
+
 def brute_components(rows, percent=85):
     h, first = shingle_sets([t.encode() for _, t in rows])
     sets = [frozenset(h[first[k] : first[k + 1]].tolist()) for k in range(len(rows))]
