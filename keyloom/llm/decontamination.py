@@ -1,11 +1,13 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-build_index stores, for each training text, the postings (term, position) of all terms that
-occur in the tests, ordered by term. A search takes corpus counts of the terms from the
-stored index, orders the terms of every test window from the rarest on, looks up the rarest
-term's posting list, and intersects it with the offset-adjusted lists of the others. Index
-parts are searched where they lie; test items come in blocks of bounded size, so what each
-task holds doesn't grow with either side, and texts are not moved.
+build_index stores the index once, for any tests: a row is a segment of some thousand texts
+with its dictionary of terms (sorted word hashes), the length of each term's posting list and
+the lists themselves (ascending positions over the segment's texts, which lie GAP apart). A
+search takes corpus counts of the test terms from the dictionaries alone, orders the terms of
+every test window from the rarest on, looks up the rarest term's list in each segment and
+intersects it with the offset-adjusted lists of the others. Segments are searched where they
+lie, so no text or list moves; test items come in broadcast blocks of bounded size, each of
+which reads the one index again.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.grams import MARKS, Words, batches
-from keyloom.llm.storage import materialize
+from keyloom.llm.storage import keyed, materialize
 
-#: Words of a window, and bytes of test text in a block.
-WINDOW, BLOCK = 10, 16 << 20
-INDEX = "row long, doc_id long, n_words long, terms array<int>, positions array<int>"
+#: Words of a window, bytes of test text in a block (10 times as much is broadcast) and of
+#: texts in a segment, and empty places between two texts of a segment.
+WINDOW, BLOCK, SEGMENT, GAP = 10, 4 << 20, 4 << 20, 1 << 10
+INDEX = "segment long, doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, positions binary"
 MATCHES = "row long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
 
 
@@ -43,7 +46,7 @@ class Queries:
     def order(self, counts: np.ndarray):
         """Offsets of each window's terms from the rarest on; absent places come last."""
         c = np.where(self.term >= 0, counts[self.term], np.iinfo(np.int64).max)
-        return np.argsort(c, axis=1, kind="stable"), c.min(axis=1, initial=np.iinfo(np.int64).max)
+        return np.argsort(c, axis=1, kind="stable").astype(np.int16), c.min(axis=1, initial=np.iinfo(np.int64).max)
 
 
 def blocks(items: DataFrame, most: int = BLOCK):
@@ -59,64 +62,108 @@ def blocks(items: DataFrame, most: int = BLOCK):
         yield sorted(rows, key=lambda x: (x[0] is not None, x))
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """The stored index: one row a text, with its postings of the vocabulary by term."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs (doc_id, text), as in INDEX; lists are in the order of terms."""
 
     def run(parts):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
+        ids, lengths, hashes, size = [], [], [], 0
+
+        def segment():
+            nonlocal number, ids, lengths, hashes, size
+            n = np.concatenate(lengths)
+            h = np.concatenate(hashes)
+            base = np.cumsum(n + GAP) - (n + GAP)
+            place = np.arange(len(h)) + np.repeat(base - (np.cumsum(n) - n), n)
+            order = np.argsort(h, kind="stable")
+            terms, counts = np.unique(h, return_counts=True)
+            lists = place[order].astype("<i8" if len(place) and place[-1] > 1 << 31 else "<i4")
+            blob = lambda x: pa.array([x.tobytes()], pa.binary())
+            cols = [pa.array([number]), pa.array([np.concatenate(ids).tolist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), blob(terms), blob(counts.astype("<i4")), blob(lists)]
+            number, ids, lengths, hashes, size = number + 1, [], [], [], 0
+            return pa.record_batch(cols, names=[x.split()[0] for x in INDEX.split(", ")])
+
         for b in parts:
-            ids = b.column("doc_id")
             for at, texts in batches(b.column("text")):
                 w = Words(texts, MARKS, lower=True)
-                term = np.minimum(np.searchsorted(vocabulary, w.hash), max(0, len(vocabulary) - 1)).astype(np.int32)
-                known = vocabulary[term] == w.hash if len(vocabulary) else np.zeros(len(w), bool)
-                doc = w.doc()[known]
-                term, place = term[known], (np.arange(len(w)) - np.repeat(w.first[:-1], np.diff(w.first)))[known]
-                order = np.lexsort((term, doc))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order].astype(np.int32))) for x in (term, place)]
-                yield pa.record_batch([pa.array(np.arange(row, row + len(texts))), ids.slice(at, len(texts)).cast(pa.int64()), pa.array(np.diff(w.first).astype(np.int64)), *lists], names=["row", "doc_id", "n_words", "terms", "positions"])
-                row += len(texts)
+                ids.append(np.array(b.column("doc_id").slice(at, len(texts)).to_pylist(), object))
+                lengths.append(np.diff(w.first))
+                hashes.append(w.hash)
+                size += len(w.bytes)
+                if size >= SEGMENT:
+                    yield segment()
+        if ids:
+            yield segment()
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     return materialize(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, INDEX), "index")
 
 
-def term_counts(index: DataFrame, n: int) -> np.ndarray:
-    """Postings of each term over the whole index, summed in every task before the shuffle."""
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Postings of each term over the whole index, from the dictionaries, summed in every task first."""
+    terms = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(parts):
         import pyarrow as pa
 
-        total = np.zeros(n, np.int64)
+        total = np.zeros(len(terms.value), np.int64)
         for b in parts:
-            total += np.bincount(b.column("terms").flatten().to_numpy(), minlength=n)
+            for known, counts in zip(b.column("terms"), b.column("counts"), strict=True):
+                at, found = looked_up(np.frombuffer(known.as_py(), np.uint64), terms.value)
+                total[found] += np.frombuffer(counts.as_py(), "<i4")[at[found]]
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
 
-    out = np.zeros(n, np.int64)
-    for r in index.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.term] = r.n
     return out
 
 
-def matches_of(queries: Queries, order: np.ndarray, live: np.ndarray, term: np.ndarray, place: np.ndarray, total: int, near: int = 0, chunk: int = 1 << 20):
-    """(window, first place) of all matches in one part of the index.
+def looked_up(terms: np.ndarray, wanted: np.ndarray):
+    """(place of each wanted term among the sorted terms, which of them are there)."""
+    at = np.minimum(np.searchsorted(terms, wanted), max(0, len(terms) - 1))
+    return at, (terms[at] == wanted if len(terms) else np.zeros(len(wanted), bool))
+
+
+class Lists:
+    """The posting lists of the test terms in a segment; list t is flat[starts[t] : starts[t + 1]]."""
+
+    def __init__(self, vocabulary: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, span: int):
+        at, found = looked_up(terms, vocabulary)
+        n = np.where(found, counts[at] if len(counts) else 0, 0).astype(np.int64)
+        ends = np.cumsum(counts, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(n)])
+        first = np.where(found, (ends - counts)[at] if len(counts) else 0, 0)
+        self.flat = positions[np.repeat(first - self.starts[:-1], n) + np.arange(self.starts[-1])].astype(np.int64)
+        #: One ascending sequence of (term, position), so that all lists are searched at once.
+        self.span = span
+        self.keys = np.repeat(np.arange(len(n)) * span, n) + self.flat
+
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(term), bool)
+        key = term.astype(np.int64) * self.span + place
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+    def between(self, term: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Postings of each term from low up to high."""
+        edge = lambda p: np.searchsorted(self.keys, term * self.span + p)
+        return edge(high) - edge(low)
+
+
+def matches_of(queries: Queries, order: np.ndarray, live: np.ndarray, lists: Lists, near: int = 0, chunk: int = 1 << 18):
+    """(window, first place) of all matches in one segment.
 
-    place: positions over the part's texts, which lie `WINDOW` or more apart; live: windows
-    whose terms all occur, by rarest term. near=0 asks for exact phrases; otherwise all terms
-    must lie, in any order, within the window's size and `near` words more, and the first
-    place is where such a stretch begins.
+    live: windows whose terms all occur in the corpus. near=0 asks for exact phrases;
+    otherwise all terms must lie, in any order, within the window's size and `near` words
+    more, and the first place is where such a stretch begins.
     """
-    by = np.argsort(term, kind="stable")
-    lists, starts = place[by], np.searchsorted(term[by], np.arange(len(queries.vocabulary) + 1))
-    forward = np.full(total + queries.term.shape[1] + near + 1, -1, np.int32)
-    forward[place] = term
     rarest = queries.term[live, order[live, 0]]
-    n = starts[rarest + 1] - starts[rarest]
+    n = lists.starts[rarest + 1] - lists.starts[rarest]
     live, rarest, n = live[n > 0], rarest[n > 0], n[n > 0]
     out_w, out_p = [], []
     edges = np.concatenate([[0], np.cumsum(n)])
@@ -124,17 +171,15 @@ def matches_of(queries: Queries, order: np.ndarray, live: np.ndarray, term: np.n
     while at < len(live):
         stop = max(at + 1, int(np.searchsorted(edges, edges[at] + chunk, side="right")) - 1)
         k = np.repeat(np.arange(at, stop), n[at:stop])
-        anchor = lists[starts[rarest[k]] + np.arange(len(k)) - (edges[k] - edges[at])]
+        anchor = lists.flat[lists.starts[rarest[k]] + np.arange(len(k)) - (edges[k] - edges[at])]
         window = live[k]
         at = stop
         if near:
             for w, a in zip(window.tolist(), anchor.tolist(), strict=True):
-                want = np.sort(queries.term[w, : queries.size[w]])
-                width = len(want) + near
+                kinds, need = np.unique(queries.term[w, : queries.size[w]], return_counts=True)
+                width = int(queries.size[w]) + near
                 for s in range(max(0, a - width + 1), a + 1):
-                    got = np.sort(forward[s : s + width])
-                    kinds, need = np.unique(want, return_counts=True)
-                    if ((np.searchsorted(got, kinds, "right") - np.searchsorted(got, kinds)) >= need).all():
+                    if (lists.between(kinds.astype(np.int64), s, s + width) >= need).all():
                         out_w.append([w])
                         out_p.append([s])
                         break
@@ -145,7 +190,7 @@ def matches_of(queries: Queries, order: np.ndarray, live: np.ndarray, term: np.n
             offset = order[window, j]
             want = queries.term[window, offset]
             # The list of the next rarest term, moved by its offset, must hold the place.
-            keep = (want < 0) | (forward[begin + offset] == want)
+            keep = (want < 0) | lists.has(want, begin + offset)
             window, begin = window[keep], begin[keep]
         out_w.append(window)
         out_p.append(begin)
@@ -154,35 +199,40 @@ def matches_of(queries: Queries, order: np.ndarray, live: np.ndarray, term: np.n
 
 def search(index: DataFrame, queries: Queries, near: int = 0) -> DataFrame:
     """MATCHES: each text's merged word spans that lie in matches, and the items matched."""
-    counts = term_counts(index, len(queries.vocabulary))
-    order, least = queries.order(counts)
+    if near + queries.term.shape[1] > GAP:
+        raise ValueError(f"a window with its room is at most {GAP} words")
+    order, least = queries.order(term_counts(index, queries.vocabulary))
     live = np.flatnonzero((least > 0) & (queries.size > 0))
-    reach = queries.size + near
+    shared = index.sparkSession.sparkContext.broadcast((queries, order, live, queries.size + near))
 
     def run(parts):
         import pyarrow as pa
 
+        queries, order, live, reach = shared.value
         for b in parts:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                n = part.column("n_words").to_numpy()
-                gap = queries.term.shape[1] + near
-                base = np.concatenate([[0], np.cumsum(n + gap)])
-                terms = part.column("terms")
-                held = np.diff(terms.offsets.to_numpy())
-                place = part.column("positions").flatten().to_numpy() + np.repeat(base[:-1], held)
-                window, begin = matches_of(queries, order, live, terms.flatten().to_numpy(), place, int(base[-1]), near)
-                cover = np.zeros(int(base[-1]) + 1, np.int64)
-                np.add.at(cover, begin, 1)
-                np.add.at(cover, np.minimum(begin + reach[window], base[-1]), -1)
-                edge = np.diff(np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]]).astype(np.int8))
-                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                doc = np.searchsorted(base, first, side="right") - 1
-                spans = pa.StructArray.from_arrays([pa.array(first - base[doc]), pa.array(np.minimum(last - base[doc], n[doc]))], names=["start", "stop"])
-                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32)), spans)
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r] for c in b.schema.names}
+                n = row["n_words"].values.to_numpy().astype(np.int64)
+                base = np.concatenate([[0], np.cumsum(n + GAP)])
+                counts, places = np.frombuffer(row["counts"].as_py(), "<i4"), row["positions"].as_py()
+                places = np.frombuffer(places, "<i4" if len(places) == 4 * counts.sum(dtype=np.int64) else "<i8")
+                lists = Lists(queries.vocabulary, np.frombuffer(row["terms"].as_py(), np.uint64), counts, places, int(base[-1]) + GAP)
+                window, begin = matches_of(queries, order, live, lists, near)
+                first = np.unique(begin)
+                # The longest reach from each first place; spans that meet are one.
+                last = np.zeros(len(first), np.int64)
+                np.maximum.at(last, np.searchsorted(first, begin), begin + reach[window])
+                far = np.maximum.accumulate(last) if len(last) else last
+                new = np.concatenate([[True], first[1:] > far[:-1]]) if len(first) else np.empty(0, bool)
+                start, stop = first[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)] if len(first) else first
+                doc = np.searchsorted(base, start, side="right") - 1
+                spans = pa.StructArray.from_arrays([pa.array(start - base[doc]), pa.array(np.minimum(stop - base[doc], n[doc]))], names=["start", "stop"])
                 pair = np.unique(np.stack([np.searchsorted(base, begin, side="right") - 1, queries.item[window]]), axis=1)
-                items = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair[0], np.arange(len(n) + 1)).astype(np.int32)), pa.array(queries.items[pair[1]]))
-                yield pa.record_batch([part.column("row"), part.column("doc_id"), part.column("n_words"), spans, items], names=["row", "doc_id", "n_words", "spans", "items"])
+                listed = lambda owner, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)), values)  # noqa: B023, E731
+                for at in range(0, len(n), 4096):
+                    m = min(4096, len(n) - at)
+                    cols = [pa.array((row["segment"].as_py() << 24) + np.arange(at, at + m)), row["doc_ids"].values.slice(at, m), pa.array(n[at : at + m]), listed(doc, spans).slice(at, m), listed(pair[0], pa.array(queries.items[pair[1]])).slice(at, m)]
+                    yield pa.record_batch(cols, names=["row", "doc_id", "n_words", "spans", "items"])
 
     return index.mapInArrow(run, MATCHES)
 
@@ -198,18 +248,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     table of items leaves every text clean.
     """
     items = items.filter(F.col("item_id").isNotNull())
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >= block:
-        # Rows get the same numbers for every block only from a written table.
-        docs = materialize(docs.select("doc_id", "text"), "texts")
-    found = None
+    index, found, many = build_index(docs), None, False
     for part in blocks(items, block):
-        queries = Queries(part, window)
-        one = search(build_index(docs, queries.vocabulary), queries, near)
-        found = one if found is None else found.unionByName(one)
-        many = found is not one
+        one = search(index, Queries(part, window), near)
+        many = found is not None
+        found = found.unionByName(one) if many else one
     if found is None:
-        empty = Queries([], window)
-        return search(build_index(docs, empty.vocabulary), empty)
+        return search(index, Queries([], window))
     if not many:
         return found
     # A text has one row a block here; spans of several blocks may overlap and are merged.
@@ -222,6 +267,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without any match, all columns kept."""
-    hit = contamination(docs, items, window).filter(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The rows of docs without any match, all columns kept; each row is judged by its own text."""
+    rows = keyed(docs)
+    hit = contamination(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), items, window).filter(F.size("spans") > 0)
+    return rows.join(hit.select(F.col("doc_id").alias("key")), "key", "left_anti").select("row.*")

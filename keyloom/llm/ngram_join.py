@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
 from keyloom.llm.grams import SPACE, Words, batches, mix
-from keyloom.llm.storage import discard, materialize, partitions
+from keyloom.llm.storage import discard, keyed, materialize, partitions
 
 N, PERCENT = 4, 85
 #: Least 64-bit words of a bitmap; members, and shingles of all members, of a tile; counters of the sketch.
@@ -481,3 +481,17 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
     discard(each, wanted, places, joined, nodes)
     out = known.select("doc_id", "name", F.col("n").alias("n_shingles")).join(ids, "name", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Of each group of linked rows, the row with the smallest doc_id; all columns of docs.
+
+    Rows are told apart by themselves, not by their ids: of rows that share the smallest id
+    one stays, and a null id is larger than any other. Rows without words all stay.
+    """
+    rows = keyed(docs)
+    found = similar_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), n, percent)
+    ids = rows.select("key", F.col("row.doc_id").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    kept = found.join(ids, found["doc_id"] == ids["key"]).groupBy("component_id").agg(best.alias("best")).select("best.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")

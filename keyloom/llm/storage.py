@@ -45,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """key, a number for each row, and row, a struct of df's columns, written once."""
+    from pyspark.sql import functions as F
+
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return materialize(df.select(F.monotonically_increasing_id().alias("key"), row.alias("row")), "keyed")
+
+
 def adopt(df: DataFrame, source: DataFrame) -> DataFrame:
     """df, a projection of the materialized source, which discard() then takes for it."""
     _written[df] = _written.pop(source)
