@@ -687,3 +687,55 @@ def test_pipeline_against_its_stages(spark):
         docs = p.materialize(out, "stage")
     pieces = p.STAGES[-1][1](spark, docs, DIR).collect()
     assert {r.doc_id for r in pieces} == {i for i, _ in rows_of(docs)}
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty, blank and long texts, ties, clashing columns, an empty table."""
+    import corpus_pipeline as p
+
+    item = prose(14)
+    base = prose(80)
+    rows = [(k, t) for k, t in enumerate([None, "", " ", base, base, base + " tail", f"x {item} y", prose(4000), "you idiot scum"])]
+    rows += [(None, base), (None, f"{item} z"), (None, prose(30)), (None, None), (6, prose(20)), (6, prose(20)), (3, "you idiot trash"), (11, item), (11, "fine words here are these")]
+    schema = "doc_id long, text string, key string, row string, tile int, component_id string"
+    docs = spark.createDataFrame([(i, t, "k", "r", 1, "c") for i, t in rows], schema)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for name, df in (("full", docs), ("none", docs.limit(0))):
+        d = f"{tmp_path}/{name}"
+        df.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, item), (None, base), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = queries.table(spark, d, "documents")
+        for stage, make in p.STAGES[:-1]:
+            before = [(r.doc_id, r.text or "") for r in now.collect()]
+            out = p.materialize(make(spark, now, d), "stage")
+            assert out.columns == docs.columns
+            after = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr)
+            lower = lambda i: (i is not None, i or 0)
+            if stage == "exact dedup":
+                best = {}
+                for i, t in before:
+                    best[t] = max(best.get(t, i), i, key=lower)
+                assert after == sorted(((i, t) for t, i in best.items()), key=repr)
+            elif stage == "n-gram Jaccard join":
+                # By position, so that equal ids stay apart.
+                found = brute_components([(k, t) for k, (_, t) in enumerate(before)])
+                groups = defaultdict(list)
+                for k, _, c in found:
+                    groups[c].append(k)
+                kept = [min(g, key=lambda k: (before[k][0] is None, before[k][0] or 0)) for g in groups.values()]
+                assert after == sorted((before[k] for k in kept), key=repr)
+            elif stage == "benchmark decontamination":
+                assert after == sorted(((i, t) for i, t in before if not brute_matches(t, [(1, item)])[1]), key=repr)
+            now = out
+        pieces = p.STAGES[-1][1](spark, now, d).collect()
+        want = sorted((repr(i), len(x) // 4) for i, x in encoded(rows_of(now)))
+        got = defaultdict(int)
+        for r in pieces:
+            got[repr(r.doc_id)] += r.length
+        total = defaultdict(int)
+        for i, n in want:
+            total[i] += n
+        assert got == total
+        if name == "none":
+            assert p.run(spark, d).count() == 0
