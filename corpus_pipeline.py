@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes as Parquet
 to the shared folder and reads again for the next. All but the last return the columns of
-documents. Null ids, null and empty texts, repeated rows, empty tables and further columns
-are treated as the stages' operators say.
+documents. A row is judged by itself and never goes because another has its id, so null and
+repeated ids are safe; null texts count as empty and stay, but for all but one of them, which
+are exact copies; an empty table gives none; further columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.decontamination import contamination
+from keyloom.llm.decontamination import decontaminate
 from keyloom.llm.exact_dedup import deduplicate
-from keyloom.llm.ngram_join import similar_components
-from keyloom.llm.packing import pack
+from keyloom.llm.ngram_join import drop_near_copies
+from keyloom.llm.packing import grouped, pieces
 from keyloom.llm.queries import table, tokenizer
 from keyloom.llm.storage import materialize
 from keyloom.llm.toxicity import keep_clean, train
@@ -31,23 +32,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links connect."""
-    found = similar_components(docs)
-    gone = found.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the row with the smallest doc_id of each group that links connect."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents with a window of the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Leaves out rows with a window of the benchmark."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of up to 1024 tokens."""
-    pieces = pack(docs, tokenizer())
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    found = pieces(docs, tokenizer())
+    narrow = found.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "tier_index")
+    return grouped(materialize(narrow, "pieces"))
 
 
 STAGES = [
