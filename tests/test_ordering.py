@@ -164,6 +164,102 @@ def test_routes_are_exclusive():
     assert planner.choose_shift(0xFF) == 0 and planner.choose_shift(M) == 51
 
 
+def slow_plan(mask, n, cfg):
+    """The planning rules once more, by strings of bits: (cycles as sets of bits, tail as a set)."""
+    bits = [b for b in range(64) if mask >> b & 1]
+
+    def fits(some):
+        run = bool(some) and some == list(range(some[0], some[0] + len(some)))
+        if not 1 < len(some) <= max(cfg.tuple_bits, cfg.contiguous_tuple_bits) or 2 ** len(some) > n:
+            return False
+        return len(some) <= cfg.tuple_bits or (len(some) <= cfg.contiguous_tuple_bits and n <= cfg.heap_rows and run)
+
+    if fits(bits):
+        return [], bits
+
+    def windows():
+        out = []
+        for b in bits:
+            if out and b - 1 == out[-1][-1] and len(out[-1]) < cfg.lsd_bits:
+                out[-1].append(b)
+            else:
+                out.append([b])
+        return out
+
+    def packed(w):
+        w = max(1, min(16, w))
+        return [bits[k : k + w] for k in range(0, len(bits), w)]
+
+    def cut(cycles):
+        for k in range(1, len(cycles)):
+            rest = [b for c in cycles[k:] for b in c]
+            if fits(sorted(rest)):
+                return cycles[:k], sorted(rest)
+        return cycles, []
+
+    def score(cycles):
+        kept, tail = cut(cycles)
+        odd = sum(c != list(range(c[0], c[0] + len(c))) for c in kept) + bool(tail)
+        slots = sum(2 ** len(c) for c in kept) + (2 ** len(tail) if tail else 0)
+        return (len(kept) + bool(tail)) * max(1, n) + slots + odd * max(1, n // 16)
+
+    choice, least, count = windows(), score(windows()), len(windows())
+    fewer = -(-len(bits) // cfg.lsd_bits)
+    if cfg.packing or fewer < count:
+        if cfg.packing or score(packed(cfg.lsd_bits)) < least:
+            choice, least, count = packed(cfg.lsd_bits), score(packed(cfg.lsd_bits)), fewer
+    top = min(cfg.stagger_bits, cfg.tuple_bits, 16)
+    if cfg.stagger and top > cfg.lsd_bits and n >= cfg.stagger_min_rows:
+        if cfg.stagger_cost:
+            for w in range(cfg.lsd_bits + 1, top + 1):
+                if score(packed(w)) < least:
+                    choice, least = packed(w), score(packed(w))
+            if top < len(bits) <= 2 * top and n >= 2**top:
+                choice = packed(top)
+        elif 0 < -(-len(bits) // top) < count:
+            choice = packed(top)
+    return cut(choice)
+
+
+def test_plans_equal_the_rules():
+    r = random.Random(11)
+    configs = [Config(), Config(lsd_bits=8), Config(lsd_bits=12, tuple_bits=16), Config(tuple_bits=16, stagger_cost=False), Config(packing=True), Config(tuple_bits=16, stagger=False), Config(tuple_bits=14, stagger_min_rows=5000), Config(lsd_bits=17), Config(heap_rows=1000)]
+    for k in range(6000):
+        mask = r.getrandbits(64) & (r.getrandbits(64) if k % 2 else M) & (r.getrandbits(64) if k % 3 else M) >> r.randrange(0, 50)
+        if k % 5 == 0:
+            mask = u64.low_mask(r.randint(1, 30)) << r.randrange(0, 34) | 1 << r.randrange(64)
+        n, cfg = r.choice([2, 100, 3000, 70_000, 1 << 20, 3_000_000, 2**31 - 1]), configs[k % len(configs)]
+        cycles, tail = slow_plan(mask, n, cfg)
+        plan = planner.choose_cycles(mask, n, cfg)
+        assert [m for _, m in plan.passes] == [sum(1 << b for b in c) for c in cycles], (hex(mask), n, cfg)
+        assert plan.tail == sum(1 << b for b in tail)
+    plan = planner.choose_cycles(0x1F3878, 3_000_000, Config())
+    assert not plan.tail and [m for _, m in plan.passes] == [0x1F3878]
+
+
+def test_window_places_and_local_widths():
+    assert planner.shift_candidates(13) == [51, 38, 32, 25, 16, 12, 8, 0]
+    assert planner.shift_candidates(12) == [52, 40, 32, 28, 16, 8, 4, 0]
+    assert planner.shift_candidates(11) == [53, 42, 32, 31, 20, 16, 9, 8, 0]
+    assert planner.shift_candidates(40) == [24, 16, 8, 0]
+    assert [planner.local_bits(c) for c in (0, 1, 2, 3, 100, 9000)] == [13, 13, 12, 11, 6, 1]
+    assert planner.local_bits(5, Config(local_children=0)) == 13 and planner.local_bits(1, Config(local_bits=6)) == 6
+    # Only eligible buckets share the children: here one of three large mixed ones.
+    wide = u64.low_mask(50)
+    shifts, bits = planner.local_shifts([(wide, 2_000_000, "MIXED"), (0b110, 2_000_000, "MIXED"), (wide, 70_000, "MIXED")], 9_000_000, False)
+    assert (shifts, bits) == ([37, -1, -1], 13)
+    assert planner.local_shifts([(wide, 2_000_000, "MIXED")], 9_000_000, False, Config(local=False))[0] == [-1]
+    # The bound of contiguous tuples follows the scratch option.
+    assert planner.tuple_fits(0x3FF0, 5000) and not planner.tuple_fits(0x3FF0, 5000, Config(heap_rows=4999))
+
+
+def test_schedules():
+    work = [(1, 5), (2, 9), (3, 1), (4, 4)]
+    assert planner.schedule(work, 2) == [(0, 0, 2, 9, 9), (1, 1, 1, 5, 5), (2, 1, 4, 4, 9), (3, 0, 3, 1, 10)]
+    assert [x[1] for x in planner.schedule(work, 2, stealing=False)] == [0, 1, 0, 1]
+    assert [x[1] for x in planner.schedule(work, 3, batch=2)] == [0, 0, 1, 1]
+
+
 def test_parsers_and_statistics():
     assert planner.parse_counts("1k,2_000,3..1:1,5..9") == [1000, 2000, 3, 2, 1, 5, 9]
     assert modes.parse_modes("sorted, nearly-sorted,REVERSE..SORTED") == ["SORTED", "NEARLY_SORTED", "REVERSE", "SORTED"]
