@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import u64
+from keyloom.operators.order import ranked
 from keyloom.operators.sorting import bucket_sort_positions
 from keyloom.plans.planner import Config
 
@@ -23,9 +24,15 @@ def heavy_keys_approx(df: DataFrame, key: str, candidates: int = 64) -> DataFram
 
 
 def dominant_core(df: DataFrame, key: str, unsigned: bool = True, cfg: Config = Config()) -> dict | None:
-    """The heavy keys, if they have the share of rows asked for and all lie below the rest."""
+    """The heavy keys, if they have the share of rows asked for and all lie below the rest.
+
+    Candidates come from a sketch over all rows, and only they are counted; with cfg.core off
+    there is no core.
+    """
+    if not cfg.core:
+        return None
     total = df.count()
-    core = [(r[key], r.n) for r in heavy_keys(df, key, cfg.core_divisor).collect()]
+    core = [(r[key], r.n) for r in heavy_keys_approx(df, key, max(cfg.core_candidates, 1)).filter(F.col("n") >= max(2, total // cfg.core_divisor)).collect()]
     n = sum(c for _, c in core)
     if not core or n * 100 < cfg.core_share * total or n >= total:
         return None
@@ -47,11 +54,7 @@ def dominant_core_sort(df: DataFrame, key: str, pos: str, unsigned: bool = True,
         at += n
     table = F.broadcast(spark.createDataFrame(starts, "core_key long, core_start long"))
     head = df.join(table, F.col(key) == F.col("core_key"))
-    # A core key is hot, so ranks come from slices of positions: their counts, then a rank inside.
-    head = head.withColumn("slice", F.shiftright(pos, 16))
-    counts = head.groupBy("core_key", "slice").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("core_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("core_key", "slice").orderBy(pos))
-    head = head.withColumn("rank", rank).join(counts, ["core_key", "slice"]).withColumn("out_pos", (F.col("core_start") + F.col("before") + F.col("rank") - 1).cast("long"))
+    # A core key is hot, so ranks come from slices of positions.
+    head = ranked(head, ["core_key"], pos).withColumn("out_pos", (F.col("core_start") + F.col("rank")).cast("long"))
     tail = bucket_sort_positions(df.filter(~F.col(key).isin([k for k, _ in starts])), key, pos, unsigned)
     return head.select(*df.columns, "out_pos").unionByName(tail.select(*df.columns, (F.col("out_pos") + core["n"]).alias("out_pos")))

@@ -19,22 +19,38 @@ def slice_summaries(df: DataFrame, key: str, pos: str, unsigned: bool = True, by
     """First and last key (ordered view) and both directions of each slice of positions."""
     rows = df.filter(F.col(key).isNotNull()).select(*by, u64.ordered(F.col(key).cast("long"), unsigned).alias("k"), F.col(pos).alias("p"), F.shiftright(pos, slice_bits).alias("slice"))
     before = F.lag("k").over(Window.partitionBy(*by, "slice").orderBy("p"))
-    rows = rows.withColumn("up", before.isNull() | (before <= F.col("k"))).withColumn("down", before.isNull() | (before >= F.col("k")))
-    return rows.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"), F.min_by("k", "p").alias("first_key"), F.max_by("k", "p").alias("last_key"), F.bool_and("up").alias("up"), F.bool_and("down").alias("down"))
+    rows = rows.withColumns({"up": before.isNull() | (before <= F.col("k")), "down": before.isNull() | (before >= F.col("k")), "fall": before.isNull() | (before > F.col("k"))})
+    both = [F.bool_and(c).alias(c) for c in ("up", "down", "fall")]
+    return rows.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"), F.min_by("k", "p").alias("first_key"), F.max_by("k", "p").alias("last_key"), *both)
 
 
 def order_scan(df: DataFrame, key: str, pos: str, unsigned: bool = True, by: tuple[str, ...] = (), slice_bits: int = SLICE_BITS) -> DataFrame:
-    """n, ascending, descending and order_class, of the whole or by group."""
+    """n, ascending, descending, falling (descending without ties) and order_class, of the whole or by group."""
     parts = slice_summaries(df, key, pos, unsigned, by, slice_bits)
     along = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("slice")
     last = F.lag("last_key").over(along)
-    parts = parts.withColumn("up", F.col("up") & (last.isNull() | (last <= F.col("first_key")))).withColumn("down", F.col("down") & (last.isNull() | (last >= F.col("first_key"))))
-    agg = [F.sum("n").alias("n"), F.bool_and("up").alias("ascending"), F.bool_and("down").alias("descending")]
+    first = F.col("first_key")
+    parts = parts.withColumns({"up": F.col("up") & (last.isNull() | (last <= first)), "down": F.col("down") & (last.isNull() | (last >= first)), "fall": F.col("fall") & (last.isNull() | (last > first))})
+    agg = [F.sum("n").alias("n"), F.bool_and("up").alias("ascending"), F.bool_and("down").alias("descending"), F.bool_and("fall").alias("falling")]
     out = parts.groupBy(*by).agg(*agg) if by else parts.agg(*agg)
     kind = F.when(F.col("ascending"), "ASCENDING").when(F.col("descending"), "DESCENDING").otherwise("MIXED")
     return out.withColumn("order_class", kind)
 
 
+def ranked(rows: DataFrame, groups: list[str], pos: str, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """rows with `rank`, from 0, along pos in each group: counts of slices of positions, and ranks inside.
+
+    However many rows a group has, no task ranks more than a slice.
+    """
+    rows = rows.withColumn("__slice", F.shiftright(pos, slice_bits))
+    counts = rows.groupBy(*groups, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    along = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*groups, "__slice", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "__slice").orderBy(pos))
+    # Group columns are never null here.
+    return rows.withColumn("__in", inside).join(before, [*groups, "__slice"]).withColumn("rank", (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__slice", "__in", "__before")
+
+
 def order_probe(df: DataFrame, key: str, pos: str, n: int, unsigned: bool = True, head: int = 2048, samples: int = 1024) -> DataFrame:
     """The order class of the first rows and of a strided sample, a cheap disproof of order."""
     step = max(1, n // samples)

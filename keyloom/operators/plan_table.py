@@ -11,14 +11,14 @@ from keyloom.operators.order import order_scan
 from keyloom.plans import planner
 from keyloom.plans.planner import Config
 
-PLAN = "bucket long, start long, n long, or_mask long, and_mask long, vbm long, rvb long, state string, route string, tiny_tier string, n_cycles int, cycles array<struct<shift:int,mask:long>>, tail_mask long, tuple_bits int, tuple_in_place boolean, local_shift int, local_bits int, off_heap boolean, score long, needs_work boolean"
+PLAN = "bucket long, start long, n long, or_mask long, and_mask long, vbm long, rvb long, state string, falling boolean, route string, tiny_tier string, n_cycles int, cycles array<struct<shift:int,mask:long>>, tail_mask long, tuple_bits int, tuple_in_place boolean, local_shift int, local_bits int, off_heap boolean, score long, needs_work boolean"
 
 
 def bucket_states(df: DataFrame, key: str, pos: str, shift: int, bits: int = 13, unsigned: bool = True) -> DataFrame:
     """Plan rows with each bucket's order in the input and its state."""
     plan = bucket_descriptors(df, key, shift, bits, unsigned)
     rows = df.filter(F.col(key).isNotNull()).withColumn("bucket", bucket_of(F.col(key).cast("long"), shift, bits, unsigned))
-    order = order_scan(rows, key, pos, unsigned, ("bucket",)).select("bucket", "ascending", "descending")
+    order = order_scan(rows, key, pos, unsigned, ("bucket",)).select("bucket", "ascending", "descending", "falling")
     kind = F.when((F.col("n") <= 1) | (F.col("vbm") == 0), "ALL_EQUAL").when(F.col("ascending"), "ASCENDING").when(F.col("descending"), "DESCENDING").otherwise("MIXED")
     return plan.join(order, "bucket").withColumn("state", kind)
 
@@ -39,7 +39,7 @@ def plan_table(df: DataFrame, key: str, pos: str, shift: int, unsigned: bool = T
         route = planner.route(r.n, vbm, r.state, cfg)
         c = planner.choose_cycles(vbm, r.n, cfg) if r.state == "MIXED" else planner.Cycles()
         direct = route == "tuple-direct"
-        out.append((r.bucket, r.start, r.n, r.or_mask, r.and_mask, r.vbm, r.rvb, r.state, route, planner.tiny_tier(r.n) if route == "tiny" else None, len(c.passes), [(s, u64.signed(m)) for s, m in c.passes], u64.signed(c.tail), planner.popcount(c.tail), planner.tuple_in_place(r.n, tuples, cfg) if direct else None, local, width if local >= 0 else 0, r.n > cfg.heap_rows, c.score, route != "done"))
+        out.append((r.bucket, r.start, r.n, r.or_mask, r.and_mask, r.vbm, r.rvb, r.state, r.falling, route, planner.tiny_tier(r.n) if route == "tiny" else None, len(c.passes), [(s, u64.signed(m)) for s, m in c.passes], u64.signed(c.tail), planner.popcount(c.tail), planner.tuple_in_place(r.n, tuples, cfg) if direct else None, local, width if local >= 0 else 0, r.n > cfg.heap_rows, c.score, route != "done"))
     return df.sparkSession.createDataFrame(out, PLAN)
 
 

@@ -2,8 +2,9 @@
 
 A row's position is its bucket's start plus its rank in the bucket. The window that names
 the buckets is laid over the highest bits that vary at all; buckets above a share of the
-rows are split by the next bits that vary in them, and buckets of equal keys by position, so
-that no window partition grows with one hot key. Only plan rows reach the driver.
+rows are split by the next bits that vary in them, again and again, and buckets of equal keys
+by position, so that no window partition grows with a hot prefix or key. Only plan rows reach
+the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import u64
 from keyloom.operators.descriptors import bucket_descriptors, global_descriptor
-from keyloom.operators.order import order_scan
+from keyloom.operators.order import order_scan, ranked
 from keyloom.plans.planner import Config
 
 #: Rows that a bucket may have whatever the total, and parts of the total beyond which it is split.
@@ -40,36 +41,45 @@ def scatter(df: DataFrame, key: str, plan: DataFrame, shift: int, bits: int, par
     return rows.join(F.broadcast(place), "bucket").repartitionById(partitions, F.col("to")).drop("to")
 
 
-def _split_levels(df: DataFrame, view: Column, key: str, pos: str, cfg: Config, unsigned: bool) -> tuple[DataFrame, list[str]]:
-    """df with bucket columns b0, b1, b2 that follow the total order."""
-    g = global_descriptor(df, key).first()
-    vbm = (g.vbm or 0) & u64.MASK64
+def _split_levels(df: DataFrame, view: Column, key: str, pos: str, cfg: Config, unsigned: bool, vbm: int, n: int) -> tuple[DataFrame, list[str]]:
+    """df with bucket columns b0, b1, ... that follow the total order of (key, pos).
+
+    vbm and n are the keys' variable bits and number. A group over the limit is split by its
+    highest varying bits, or, if its keys are equal, by its range of positions, until none is.
+    """
     shift = max(0, vbm.bit_length() - cfg.msd_bits)
-    limit = max(LEAST, (g.n or 0) // SHARE)
-    plan = bucket_descriptors(df, key, shift, cfg.msd_bits, unsigned)
-    big = plan.filter(F.col("n") > limit).select("bucket", "vbm").collect()  # fewer than SHARE rows
-    df = df.withColumn("b0", u64.digit(view, shift, cfg.msd_bits))
-    zero = F.lit(0).cast("long")
-    if not big:
-        return df.withColumns({"b1": zero, "b2": zero}), ["b0", "b1", "b2"]
+    limit, zero = max(LEAST, n // SHARE), F.lit(0).cast("long")
+    rows, levels = df.withColumn("b0", u64.digit(view, shift, cfg.msd_bits)), ["b0"]
+    within = rows
     spark = df.sparkSession
-    cuts = []
-    for b in big:
-        mask = b.vbm & u64.MASK64
-        cuts.append((b.bucket, max(0, mask.bit_length() - cfg.msd_bits), u64.low_mask(min(cfg.msd_bits, max(1, mask.bit_length())))))
-    df = df.join(F.broadcast(spark.createDataFrame(cuts, "b0 long, __down int, __mask long")), "b0", "left")
-    digit = F.call_function("shiftrightunsigned", view, F.col("__down")).bitwiseAND(F.col("__mask"))
-    df = df.withColumn("b1", F.coalesce(digit, zero)).drop("__mask")
-    sizes = df.filter(F.col("__down").isNotNull()).groupBy("b0", "b1").agg(F.count(F.lit(1)).alias("n"), F.bit_or(key).alias("o"), F.bit_and(key).alias("a"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
-    hot = sizes.filter((F.col("n") > limit) & (F.col("o") == F.col("a"))).collect()  # fewer than SHARE rows
-    df = df.drop("__down")
-    if not hot:
-        return df.withColumn("b2", zero), ["b0", "b1", "b2"]
-    steps = [(h.b0, h.b1, h.lo, max(1, -(-(h.hi - h.lo + 1) // (h.n // limit + 1)))) for h in hot]
-    df = df.join(F.broadcast(spark.createDataFrame(steps, "b0 long, b1 long, __lo long, __step long")), ["b0", "b1"], "left")
-    part = F.coalesce(F.floor((F.col(pos) - F.col("__lo")) / F.col("__step")).cast("long"), zero)
-    df = df.withColumn("b2", part).drop("__lo", "__step")
-    return df, ["b0", "b1", "b2"]
+    while True:
+        sizes = within.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"), F.bit_or(key).alias("o"), F.bit_and(key).alias("a"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
+        splits = []
+        for g in sizes.filter((F.col("n") > limit) & ((F.col("o") != F.col("a")) | (F.col("lo") < F.col("hi")))).collect():  # fewer than SHARE rows
+            mask = (g.o ^ g.a) & u64.MASK64
+            at = tuple(g[b] for b in levels)
+            if mask:
+                bits = min(cfg.msd_bits, mask.bit_length())
+                splits.append((*at, mask.bit_length() - bits, u64.low_mask(bits), None, None))
+            else:
+                splits.append((*at, None, None, g.lo, max(1, -(-(g.hi - g.lo + 1) // (g.n // limit + 1)))))
+        if not splits:
+            return rows, levels
+        named = ", ".join(f"{b} long" for b in levels)
+        table = F.broadcast(spark.createDataFrame(splits, f"{named}, __down int, __mask long, __lo long, __step long"))
+        digit = F.call_function("shiftrightunsigned", view, F.col("__down")).bitwiseAND(F.col("__mask"))
+        part = F.floor((F.col(pos) - F.col("__lo")) / F.col("__step")).cast("long")
+        new = f"b{len(levels)}"
+        rows = rows.join(table, levels, "left").withColumn(new, F.coalesce(digit, part, zero)).withColumn("__split", F.col("__down").isNotNull() | F.col("__lo").isNotNull())
+        within = rows.filter("__split")
+        rows, within = (x.drop("__down", "__mask", "__lo", "__step", "__split") for x in (rows, within))
+        levels = [*levels, new]
+
+
+def _starts(counts: DataFrame, levels: list[str]) -> DataFrame:
+    """levels and bucket_start of counts (levels, bucket_n), one row a bucket."""
+    before = F.sum("bucket_n").over(Window.partitionBy(F.lit(0)).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(*levels, F.coalesce(before, F.lit(0)).alias("bucket_start"))
 
 
 def bucket_sort_positions(df: DataFrame, key: str, pos: str, unsigned: bool = True, cfg: Config = Config()) -> DataFrame:
@@ -77,18 +87,50 @@ def bucket_sort_positions(df: DataFrame, key: str, pos: str, unsigned: bool = Tr
 
     Rows with a null key come last, by position. Ties of (key, pos) are ranked arbitrarily.
     """
-    k = F.coalesce(F.col(key), F.lit(0))
-    known, rest = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
-    rows, levels = _split_levels(known, u64.raw_view(k, unsigned), key, pos, cfg, unsigned)
-    counts = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("bucket_n"))
-    starts = counts.withColumn("bucket_start", F.coalesce(F.sum("bucket_n").over(Window.partitionBy(F.lit(0)).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    g = global_descriptor(df, key).first()
+    known = df.filter(F.col(key).isNotNull()) if g.n_null else df
+    rows, levels = _split_levels(known, u64.raw_view(F.col(key), unsigned), key, pos, cfg, unsigned, (g.vbm or 0) & u64.MASK64, g.n)
+    # The plan has at most 2^13 buckets and as many children for each of SHARE large ones a level.
+    starts = _starts(rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("bucket_n")), levels)
     rank = F.row_number().over(Window.partitionBy(*levels).orderBy(u64.ordered(F.col(key), unsigned), F.col(pos)))
-    ranked = rows.withColumn("bucket_rank", rank)
-    # The plan has at most 2^13 buckets and as many children for each of SHARE large ones.
-    out = ranked.join(starts.drop("bucket_n"), levels).withColumn("out_pos", (F.col("bucket_start") + F.col("bucket_rank") - 1).cast("long")).drop(*levels, "bucket_start", "bucket_rank")
-    n = known.agg(F.count(F.lit(1)).alias("known_n"))
-    tail = rest.withColumn("null_rank", F.row_number().over(Window.partitionBy(F.col(key)).orderBy(pos))).crossJoin(F.broadcast(n)).withColumn("out_pos", (F.col("known_n") + F.col("null_rank") - 1).cast("long")).drop("null_rank", "known_n")
-    return out.select(*df.columns, "out_pos").unionByName(tail.select(*df.columns, "out_pos"))
+    out = rows.withColumn("bucket_rank", rank).join(starts, levels).withColumn("out_pos", (F.col("bucket_start") + F.col("bucket_rank") - 1).cast("long"))
+    out = out.select(*df.columns, "out_pos")
+    if not g.n_null:
+        return out
+    rest = ranked(df.filter(F.col(key).isNull()), [], pos)
+    return out.unionByName(rest.withColumn("out_pos", F.col("rank") + F.lit(g.n)).select(*df.columns, "out_pos"))
+
+
+def dispatch_sort(df: DataFrame, key: str, pos: str, shift: int, unsigned: bool = True, cfg: Config = Config()) -> DataFrame:
+    """df with route and out_pos: the plan of its buckets, carried out route by route.
+
+    Rows of a `done` bucket keep their order; those of a bucket that falls without ties are
+    reversed; `tuple-direct` counts the values of the bucket's variable bits; the others are
+    ranked by key. Buckets with a local split are first dealt to its children. Null keys are
+    left out. A done, reversed or counted bucket may hold all rows: their ranks come from
+    slices of positions.
+    """
+    from keyloom.operators.plan_table import plan_table
+
+    plan = plan_table(df, key, pos, shift, unsigned, cfg)
+    # At most 2^msd_bits rows.
+    steps = F.broadcast(plan.select("bucket", "start", F.col("n").alias("__n"), F.col("vbm").alias("__vbm"), "route", "falling", "local_shift", "local_bits"))
+    view = u64.raw_view(F.col(key).cast("long"), unsigned)
+    rows = df.filter(F.col(key).isNotNull()).withColumn("bucket", u64.digit(view, shift, cfg.msd_bits)).join(steps, "bucket")
+    zero = F.lit(0).cast("long")
+    turned, counted = (F.col("route") == "reverse") & F.col("falling"), F.col("route") == "tuple-direct"
+    # The vbm of one bucket is one mask, so counted values order its rows as their keys do.
+    values = F.when(counted, u64.compress_by(view, F.col("__vbm"))).otherwise(zero)
+    child = F.when(F.col("local_shift") >= 0, F.call_function("shiftrightunsigned", view, F.greatest("local_shift", F.lit(0))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("local_bits")) - 1)).otherwise(zero)
+    rows = rows.withColumns({"__value": F.when(counted, values).otherwise(child), "__by": F.when((F.col("route") == "done") | turned | counted, F.lit(True)).otherwise(F.lit(False))})
+    groups = ["bucket", "__value"]
+    starts = _starts(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("bucket_n")), groups)
+    along = ranked(rows.filter("__by"), groups, pos)
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(u64.ordered(F.col(key), unsigned), F.col(pos))) - 1
+    sorted_rows = rows.filter(~F.col("__by")).withColumn("rank", rank.cast("long"))
+    out = along.unionByName(sorted_rows.select(along.columns)).join(starts, groups)
+    place = F.when(turned, F.col("start") + F.col("__n") - 1 - F.col("rank")).otherwise(F.col("bucket_start") + F.col("rank"))
+    return out.withColumn("out_pos", place.cast("long")).select(*df.columns, "route", "out_pos")
 
 
 def reverse_positions(df: DataFrame, pos: str, n: int) -> DataFrame:
@@ -98,33 +140,36 @@ def reverse_positions(df: DataFrame, pos: str, n: int) -> DataFrame:
 
 def bucket_reverse_positions(df: DataFrame, bucket: Column, pos: str) -> DataFrame:
     """Every bucket's rows in reverse: its start, plus its size less one, less the row's place."""
-    rows = df.withColumn("bucket", bucket)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("bucket").orderBy(pos)) - 1
-    return rows.withColumn("local", local).join(starts, "bucket").withColumn("out_pos", (F.col("start") + F.col("n") - 1 - F.col("local")).cast("long")).drop("local", "start", "n")
+    rows = ranked(df.withColumn("bucket", bucket), ["bucket"], pos)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_n"))
+    place = sizes.join(_starts(sizes, ["bucket"]), "bucket")
+    return rows.join(place, "bucket").withColumn("out_pos", (F.col("bucket_start") + F.col("bucket_n") - 1 - F.col("rank")).cast("long")).drop("rank", "bucket_start", "bucket_n")
 
 
 def tuple_counting_sort(df: DataFrame, key: str, pos: str, mask: int) -> DataFrame:
     """Counting sort by the bits of mask, stable by position: tuple_index and out_pos."""
-    rows = df.withColumn("tuple_index", u64.compress(F.col(key), mask))
-    counts = rows.groupBy("tuple_index").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("tuple_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("tuple_index").orderBy(pos))
-    return rows.withColumn("rank", rank).join(starts.drop("n"), "tuple_index").withColumn("out_pos", (F.col("start") + F.col("rank") - 1).cast("long")).drop("start", "rank")
+    rows = ranked(df.withColumn("tuple_index", u64.compress(F.col(key), mask)), ["tuple_index"], pos)
+    starts = _starts(rows.groupBy("tuple_index").agg(F.count(F.lit(1)).alias("bucket_n")), ["tuple_index"])
+    return rows.join(starts, "tuple_index").withColumn("out_pos", (F.col("bucket_start") + F.col("rank")).cast("long")).drop("rank", "bucket_start")
 
 
-def adaptive_sort(df: DataFrame, key: str, pos: str, unsigned: bool = True) -> DataFrame:
-    """Positions by the cheapest sufficient way: none for sorted, a projection for reversed input.
+def order_shortcut(df: DataFrame, key: str, pos: str, unsigned: bool = True) -> str | None:
+    """ASCENDING or DESCENDING (without ties) where the input's order makes a sort needless, else None.
 
-    pos must be 0 .. n - 1 for the two shortcuts, which is checked.
+    pos must be 0 .. n - 1, which is checked; keys must not be null.
     """
     found = order_scan(df, key, pos, unsigned).first()
     span = df.agg(F.min(pos), F.max(pos), F.count(F.lit(1)), F.count(key)).first()
-    whole = span[2] == 0 or (span[0] == 0 and span[1] == span[2] - 1 and span[3] == span[2])
-    if whole and found.ascending is not False:
+    if span[2] and not (span[0] == 0 and span[1] == span[2] - 1 and span[3] == span[2]):
+        return None
+    return "ASCENDING" if found.ascending is not False else "DESCENDING" if found.falling else None
+
+
+def adaptive_sort(df: DataFrame, key: str, pos: str, unsigned: bool = True) -> DataFrame:
+    """Positions by the cheapest sufficient way: none for sorted, a projection for reversed input."""
+    found = order_shortcut(df, key, pos, unsigned)
+    if found == "ASCENDING":
         return df.withColumn("out_pos", F.col(pos).cast("long"))
-    strict = whole and found.descending
-    if strict and df.groupBy(key).count().filter("count > 1").isEmpty():
-        return reverse_positions(df, pos, span[2])
+    if found == "DESCENDING":
+        return df.withColumn("out_pos", (F.lit(df.count() - 1) - F.col(pos)).cast("long"))
     return bucket_sort_positions(df, key, pos, unsigned)

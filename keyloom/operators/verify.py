@@ -38,12 +38,22 @@ def checksums(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def verify_sorted(result: DataFrame, source: DataFrame, key: str, pos: str, out_pos: str = "out_pos", unsigned: bool = True, slice_bits: int = 16) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df, evaluated once: a checkpoint where the session has a folder for it, kept on disk otherwise."""
+    from pyspark import StorageLevel
+
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
+def verify_sorted(result: DataFrame, source: DataFrame, key: str, pos: str, out_pos: str = "out_pos", unsigned: bool = True, slice_bits: int = 16, generated: DataFrame | None = None) -> DataFrame:
     """One row: n, failures (bits) and the first failing position, of a sort's result.
 
-    result has key, pos and out_pos; source key and pos. Order is compared inside slices of
-    out_pos and across their ends; the multisets of (key, pos) are compared by counts.
+    result has key, pos and out_pos and is evaluated once; source has key and pos. Order is
+    compared inside slices of out_pos and across their ends; the multisets of (key, pos) are
+    compared by counts. With generated (key and value), PAIR tells that a record isn't one of
+    the generator's.
     """
+    result = written(result.select(key, pos, out_pos))
     rows = result.select(u64.ordered(F.col(key), unsigned).alias("k"), F.col(pos).alias("p"), F.col(out_pos).alias("o"))
     rows = rows.withColumn("slice", F.shiftright("o", slice_bits))
     w = Window.partitionBy("slice").orderBy("o")
@@ -56,10 +66,14 @@ def verify_sorted(result: DataFrame, source: DataFrame, key: str, pos: str, out_
     sides = result.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.lit(1).alias("s")).unionAll(source.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.lit(-1).alias("s")))
     differ = sides.groupBy("k", "p").agg(F.sum("s").alias("d")).filter("d <> 0").agg(F.count(F.lit(1)).alias("differ"))
     a, b = (x.agg(F.coalesce(F.bit_xor(pos), F.lit(0)).alias(f"x{t}"), F.coalesce(wrapped_sum(F.col(pos)), F.lit(0)).alias(f"s{t}"), F.count(F.lit(1)).alias(f"n{t}")) for x, t in ((result, 1), (source, 2)))
-    # Four tables of one row each.
-    all_in = order.crossJoin(differ).crossJoin(a).crossJoin(b)
+    if generated is None:
+        pairs = result.sparkSession.range(1).select(F.lit(0).alias("unpaired"))
+    else:
+        pairs = verify_pairs(result.select(F.col(key).alias("key"), F.col(pos).alias("value")), generated).agg(F.count(F.lit(1)).alias("unpaired"))
+    # Five tables of one row each.
+    all_in = order.crossJoin(differ).crossJoin(a).crossJoin(b).crossJoin(pairs)
     bit = lambda c, v: F.when(c, v).otherwise(0)
-    fails = bit(F.col("first_bad").isNotNull(), ORDER) + bit((F.col("n1") > 0) & ((F.col("lo") != 0) | (F.col("hi") != F.col("n1") - 1)), RANGE) + bit(F.col("x1") != F.col("x2"), XOR) + bit(F.col("s1") != F.col("s2"), SUM) + bit((F.col("differ") > 0) | (F.col("n1") != F.col("n2")), MULTISET)
+    fails = bit(F.col("first_bad").isNotNull(), ORDER) + bit(F.col("unpaired") > 0, PAIR) + bit((F.col("n1") > 0) & ((F.col("lo") != 0) | (F.col("hi") != F.col("n1") - 1)), RANGE) + bit(F.col("x1") != F.col("x2"), XOR) + bit(F.col("s1") != F.col("s2"), SUM) + bit((F.col("differ") > 0) | (F.col("n1") != F.col("n2")), MULTISET)
     return all_in.select(F.col("n1").alias("n"), fails.cast("long").alias("failures"), "first_bad")
 
 

@@ -19,7 +19,13 @@ class Options:
     runs: int = 3
     warmups: int = 1
     algorithms: tuple[str, ...] = ("total_order", "positions")
+    #: Partitions of the input; 0: the session's own number. `threads` sets it too.
     partitions: int = 0
+    stealing: bool = True
+    #: Items that a worker claims at a time in the schedule; 0: half of the workers, 4 at least.
+    work_batch: int = 0
+    tune_records: int = 0
+    warmup_records: int = 0
     config: Config = field(default_factory=Config)
 
     def cases(self) -> list[tuple[str, int]]:
@@ -37,12 +43,15 @@ def _config(text: str, base: Config) -> Config:
 #: Names that set a field of Config, with their readers.
 CONFIG = {
     "tuplebits": ("tuple_bits", parse_count), "contiguoustuplebits": ("contiguous_tuple_bits", parse_count), "directtupleinplacemax": ("in_place_rows", parse_count),
-    "directtuplemanypartitions": ("many_tuples", parse_count), "tuplepacking": ("packing", parse_bool), "staggertuplebits": ("stagger_bits", parse_count),
+    "directtuplemanypartitions": ("many_tuples", parse_count), "tuplepacking": ("packing", parse_bool), "staggertuples": ("stagger", parse_bool), "staggertuplebits": ("stagger_bits", parse_count),
     "staggertuplecostmodel": ("stagger_cost", parse_bool), "staggertupleminrecords": ("stagger_min_rows", parse_count), "localmsdbits": ("local_bits", parse_count),
-    "localmsdmaxchildren": ("local_children", parse_count), "heapscratch": ("heap_rows", parse_count), "dominantcoreminshare": ("core_share", parse_count),
+    "localmsd": ("local", parse_bool), "localmsdminrecords": ("local_min_rows", parse_count), "localmsdminpasses": ("local_min_passes", parse_count), "localmsdminwindowbits": ("local_min_window", parse_count), "localmsdminsharedivisor": ("local_share", parse_count),
+    "dominantcore": ("core", parse_bool), "localmsdmaxchildren": ("local_children", parse_count), "heapscratch": ("heap_rows", parse_count), "dominantcoreminshare": ("core_share", parse_count),
     "dominantcorekeyminsharedivisor": ("core_divisor", parse_count), "dominantcoresample": ("core_sample", parse_count), "dominantcorecandidates": ("core_candidates", parse_count),
 }
-ALIASES = {"mode": "modes", "record": "records", "n": "records", "locked": "config", "signedkeys": "signed", "orderfastpath": "prescan", "algos": "algorithms", "warmup": "warmups"}
+#: Names that only steer a native sorter's own loops; there is nothing here for them to set.
+PHYSICAL = ("descendingscatter", "largepermits", "lsdheapunroll", "lsdheapunrollminrecords")
+ALIASES = {"mode": "modes", "record": "records", "n": "records", "locked": "config", "signedkeys": "signed", "orderfastpath": "prescan", "algos": "algorithms", "warmup": "warmups", "keys": "keyorder"}
 
 
 def parse(args: list[str]) -> Options:
@@ -75,6 +84,18 @@ def parse(args: list[str]) -> Options:
             out = replace(out, algorithms=tuple(x.strip() for x in value.split(",")))
         elif key == "config":
             out = replace(out, config=_config(value, out.config))
+        elif key == "curated":
+            out = replace(out, algorithms=("curated",) if parse_bool(value) else ("all",))
+        elif key == "threads":
+            out = replace(out, partitions=0 if value.lower() == "auto" else parse_count(value))
+        elif key == "workstealing":
+            out = replace(out, stealing=parse_bool(value))
+        elif key in ("workbatch", "tunerecords", "warmuprecords"):
+            out = replace(out, **{{"workbatch": "work_batch", "tunerecords": "tune_records", "warmuprecords": "warmup_records"}[key]: parse_count(value)})
+        elif key in ("msd", "lsd", "tiny"):
+            out = replace(out, config=replace(out.config, **{"tiny" if key == "tiny" else f"{key}_bits": parse_count(value)}))
+        elif key in PHYSICAL:
+            raise ValueError(f"{key} steers loops that Spark has of its own; leave it out")
         elif key in CONFIG:
             name, read = CONFIG[key]
             out = replace(out, config=replace(out.config, **{name: read(value)}))
