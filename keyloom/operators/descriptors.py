@@ -1,4 +1,4 @@
-"""Extremal bit descriptors: counts, OR, AND and variable bits, whole or by bucket."""
+"""Bit descriptors: counts, OR, AND and variable bits, whole or by bucket."""
 
 from __future__ import annotations
 

@@ -61,7 +61,7 @@ def bucket_report(plan: DataFrame) -> DataFrame:
     sizes = plan.agg(F.coalesce(F.min("n"), F.lit(0)).alias("smallest"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), *[F.percentile("n", F.lit(x)).alias(f"p{int(100 * x)}") for x in q], F.coalesce(F.bit_count(F.bit_or("vbm")), F.lit(0)).alias("variable_bits"))
     wide = plan_statistics(plan).join(sizes, how="cross")  # one row each
     names = wide.columns
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])).alias("r")).select("r.*")
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in names])).alias("r")).select("r.*")
 
 
 def plan_flags(plan: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -301,6 +301,10 @@ def data_mode_catalog(s, d):
     return datagen.catalog(s)
 
 
+def topology_example(s, d):
+    return datagen.describe(s, "LOW_BITS_ONLY", ROWS).select("mode", "topology", "example", "varying")
+
+
 def key_formatting(s, d):
     return _mixed_sign(s, d).select("event_id", u64.hex16(F.col("key")).alias("hex"))
 
@@ -362,7 +366,7 @@ _PLAN = f"""WITH x AS ({_EV}), l AS (SELECT (key >> 4) & 8191 AS bucket, key, la
 
 
 def _report(names: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS name, {n}::DOUBLE AS value FROM s" for n in names)
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, round({n}::DOUBLE, 6) AS value FROM s" for n in names)
 
 
 _STATS = """SELECT count(*) AS non_empty, count(*) FILTER (state = 'MIXED') AS mixed, count(*) FILTER (state = 'ALL_EQUAL') AS all_equal, count(*) FILTER (state = 'ASCENDING') AS ascending, count(*) FILTER (state = 'DESCENDING') AS descending,
@@ -428,6 +432,8 @@ SQL = {
         SELECT count(*) AS n, bit_xor(event_id) AS xor_value, sum(event_id)::BIGINT AS sum_value, (SELECT bit_xor(h) FROM v) AS xor_value_hash, (SELECT bit_xor(h) FROM k) AS xor_record_hash, min(key) AS min_key, max(key) AS max_key FROM ({_EV})""",
     "checksum_closed_forms": " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, bit_xor(range) AS xor_below, sum(range)::BIGINT AS sum_below FROM range({n})" for n in (1, 2, 3, 1000, 4097)),
     "data_mode_catalog": datagen.catalog_sql(),
+    "topology_example": f"""WITH k AS ({datagen.generate_sql("LOW_BITS_ONLY", ROWS)})
+        SELECT 'LOW_BITS_ONLY' AS mode, 'LOW_BIT_ENTROPY' AS topology, '0x' || printf('%016X', (SELECT key FROM k WHERE value = {ROWS // 2})) AS example, '0x' || printf('%016X', xor(bit_or(key), bit_and(key))) AS varying FROM k""",
     "key_formatting": f"SELECT event_id, '0x' || printf('%016X', key) AS hex FROM ({_MS})",
 }
 

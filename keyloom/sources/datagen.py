@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import u64
-from keyloom.sources.modes import MODES, row_count
+from keyloom.sources.modes import CLASSES, MODES, row_count
 
 
 def generate(spark: SparkSession, mode: str, n: int | None = None, partitions: int | None = None) -> DataFrame:
@@ -41,11 +41,26 @@ def generate_sql(mode: str, n: int | None = None) -> str:
         FROM (SELECT i, CAST({spec.sql(n)} AS UHUGEINT) AS u FROM ({steps}))"""
 
 
+def describe(spark: SparkSession, mode: str, n: int = 1000) -> DataFrame:
+    """One row: mode, topology, what its keys are like, what a plan comes to, and of n rows the middle one's key and the varying bits in hex."""
+    from keyloom.operators.descriptors import global_descriptor
+
+    keys, plan = MODES[mode], CLASSES[MODES[mode].topology]
+    df = generate(spark, mode, n)
+    middle = df.agg(F.max_by("key", F.when(F.col("value") <= row_count(mode, n) // 2, F.col("value"))).alias("key"))
+    bits = global_descriptor(df, "key").select("vbm")
+    head = [F.lit(x).alias(c) for c, x in zip(("mode", "topology", "description", "expected"), (keys.name, keys.topology, *plan), strict=True)]
+    # Tables of one row each.
+    return middle.crossJoin(bits).select(*head, u64.hex16(F.col("key")).alias("example"), u64.hex16(F.coalesce("vbm", F.lit(0).cast("long"))).alias("varying"))
+
+
 def catalog(spark: SparkSession) -> DataFrame:
-    """The modes with their ordinal, topology and fixed row count."""
-    return spark.createDataFrame([(k, m.name, m.topology, m.rows) for k, m in enumerate(MODES.values())], "ordinal int, mode string, topology string, fixed_rows int")
+    """The modes with their ordinal, topology, its description and expectation, and fixed row count."""
+    rows = [(k, m.name, m.topology, *CLASSES[m.topology], m.rows) for k, m in enumerate(MODES.values())]
+    return spark.createDataFrame(rows, "ordinal int, mode string, topology string, description string, expected string, fixed_rows int")
 
 
 def catalog_sql() -> str:
-    rows = ", ".join(f"({k}, '{m.name}', '{m.topology}', {'NULL' if m.rows is None else m.rows})" for k, m in enumerate(MODES.values()))
-    return f"SELECT * FROM (VALUES {rows}) AS t(ordinal, mode, topology, fixed_rows)"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, '{m.name}', '{m.topology}', {', '.join(map(quoted, CLASSES[m.topology]))}, {'NULL' if m.rows is None else m.rows})" for k, m in enumerate(MODES.values()))
+    return f"SELECT * FROM (VALUES {rows}) AS t(ordinal, mode, topology, description, expected, fixed_rows)"

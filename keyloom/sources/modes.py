@@ -142,6 +142,35 @@ def _modes() -> list[Mode]:
 
 
 MODES = {m.name: m for m in _modes()}
+#: Of each class: what its keys are like, and what a plan over their bits comes to.
+CLASSES = {
+    "FULL_ENTROPY": ("all bits vary independently", "many small mixed buckets, digit passes"),
+    "MONOTONIC": ("one run from end to end, up or down, perhaps disturbed", "taken as it is or reversed, no sort"),
+    "STRUCTURED_MONOTONIC": ("several runs laid end to end or into each other", "buckets that rise or fall by themselves"),
+    "PARTIAL_DISORDER": ("an order with a share of rows out of place", "mixed buckets, few passes"),
+    "LOCALIZED_DISRUPTION": ("an order broken at a few places", "mostly finished buckets"),
+    "DUPLICATE_HEAVY": ("few different keys, each many times", "buckets of equal keys or a counting pass"),
+    "COLLAPSED_WITH_OUTLIERS": ("nearly all keys equal, a few far away", "one dominant bucket, a core worth counting"),
+    "SKEWED_DISTRIBUTION": ("frequencies that fall off steeply", "large buckets beside many small ones"),
+    "PARALLEL_SKEW": ("nearly all rows in one bucket's range", "a second-level split, so that the work is shared"),
+    "LOW_BIT_ENTROPY": ("only the lowest bits vary", "the window moves down until it splits"),
+    "HIGH_BIT_ENTROPY": ("only the highest bits vary", "the top window leaves equal keys"),
+    "DELAYED_ENTROPY": ("equal beginnings, varying ends", "a lower window, then few passes"),
+    "SPARSE_ENTROPY": ("few varying bits, far apart", "packed passes instead of one pass a bit"),
+    "STRUCTURED_ENTROPY": ("varying bits in bands", "a pass a band, or packed ones"),
+    "CLUSTERED_ENTROPY": ("keys near a number of centres", "few buckets with short varying ends"),
+    "DENSE_LOCAL_DOMAIN": ("all values of a small range", "a counting pass over the range"),
+    "OSCILLATING": ("neighbours alternate between distant values", "no order to use, few buckets"),
+    "BINARY_COLLISION": ("two beginnings only", "two large buckets"),
+    "TUPLE_PROJECTION": ("bits of two fields with a gap between them", "packed or staggered passes with a tail"),
+    "RADIX_PATHOLOGICAL": ("beginnings that don't split, or that split into too much", "a lower window or a second level"),
+    "REFINEMENT_STRESS": ("very many tiny buckets", "insertion and other small sorts"),
+    "LOCALITY_PATHOLOGICAL": ("neighbours that go to distant places", "an exchange without any locality"),
+    "PERMUTATION_PATHOLOGY": ("a permutation without runs", "digit passes over all varying bits"),
+    "SIGNED_BOUNDARY": ("keys on both sides of the sign", "signed and unsigned orders that differ"),
+    "NUMERIC_BOUNDARY": ("least and greatest values", "few buckets at the very ends"),
+    "TRIVIAL": ("no row, one, two, or all alike", "nothing to do"),
+}
 DEFAULT_ROWS = 100_000_000
 
 

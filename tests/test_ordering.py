@@ -54,6 +54,13 @@ def test_golden_topologies(spark, mode):
     assert order.order_scan(df, "key", "value", slice_bits=8).first().order_class == kind
 
 
+def test_descriptions(spark):
+    assert {m.topology for m in modes.MODES.values()} <= set(modes.CLASSES)
+    for mode in ("EMPTY", "ALL_EQUAL", "SORTED"):
+        r = datagen.describe(spark, mode, 100).first()
+        assert r.mode == mode and r.description and r.expected and (r.example is None) == (mode == "EMPTY")
+
+
 def test_mixer_matches_python(spark):
     rows = datagen.generate(spark, "RANDOM", 500).collect()
     assert all(r.key & M == mix64(r.value) for r in rows)
@@ -93,9 +100,66 @@ def test_nulls_come_last(spark):
     assert {r.value: r.out_pos for r in sorting.bucket_sort_positions(df, "key", "value").collect()} == {2: 0, 0: 1, 1: 2, 3: 3}
 
 
+def test_nested_hot_prefixes_are_split_until_they_fit(spark, monkeypatch):
+    """Half of the rows share the top 13 bits, most of those the next, a third are one key, many are null."""
+    monkeypatch.setattr(sorting, "LEAST", 40)
+    monkeypatch.setattr(sorting, "SHARE", 64)
+    r = random.Random(3)
+    rows = []
+    for i in range(6000):
+        k = r.getrandbits(64)
+        if i % 2:
+            k = 0x1234 << 48 | k >> 16 if i % 8 == 1 else 0x1234_5678_9A << 24 | k >> 40 if i % 8 == 3 else 0x1234_5678_9ABC_DE << 8 | 7
+        rows.append((None if i % 10 == 0 else u64.signed(k), i * 3 + (i > 4000) * 10**6))
+    df = spark.createDataFrame(rows, "key long, value long").repartition(4)
+    seen = []
+    split = sorting._split_levels
+    monkeypatch.setattr(sorting, "_split_levels", lambda *a: seen.append(split(*a)) or seen[-1])
+    got = {x.value: x.out_pos for x in sorting.bucket_sort_positions(df, "key", "value").collect()}
+    known = sorted((k & M, v) for k, v in rows if k is not None)
+    want = {v: i for i, (_, v) in enumerate(known)} | {v: len(known) + i for i, v in enumerate(sorted(v for k, v in rows if k is None))}
+    assert got == want
+    parts, levels = seen[0]
+    assert len(levels) > 3 and parts.groupBy(*levels).count().agg(F.max("count")).first()[0] <= max(40, len(known) // 64)
+
+
+@pytest.mark.parametrize("shift", [4, 30, 51])
+def test_dispatch_of_all_states(spark, shift):
+    """Buckets that rise, fall with and without ties, hold one key, few bits or all kinds of keys."""
+    r, rows, pos = random.Random(5), [], 0
+    for b, make in enumerate([lambda i: i, lambda i: 300 - i, lambda i: 300 - i // 2, lambda i: 9, lambda i: r.randrange(4) * 3, lambda i: r.getrandbits(shift), lambda i: r.getrandbits(3)]):
+        for i in range(300 if b < 6 else 60):
+            rows.append((u64.signed((b * 1000 << shift & M) | (make(i) & u64.low_mask(shift))), pos))
+            pos += 1
+    df = spark.createDataFrame(rows, "key long, value long").repartition(3)
+    cfg = Config(local_min_rows=100, local_min_passes=1, heap_rows=100)
+    out = sorting.dispatch_sort(df, "key", "value", shift, cfg=cfg).collect()
+    assert {x.value: x.out_pos for x in out} == expected(rows, True)
+    assert len({x.route for x in out}) >= (4 if shift > 4 else 3)
+
+
+def test_pair_bit(spark):
+    g = datagen.generate(spark, "RANDOM", 300)
+    out = sorting.bucket_sort_positions(g, "key", "value")
+    assert verify.verify_sorted(out, g, "key", "value", generated=g).first().failures == 0
+    other = datagen.generate(spark, "SORTED", 300)
+    assert verify.verify_sorted(out, g, "key", "value", generated=other).first().failures == verify.PAIR
+    with pytest.raises(AssertionError, match="PAIR"):
+        verify.check_sorted(out, g, "key", "value", generated=other)
+
+
+def test_plan_counts_all_rows(spark, monkeypatch):
+    df = datagen.generate(spark, "RANDOM", 500)
+    whole = plan_table.bucket_states
+    monkeypatch.setattr(plan_table, "bucket_states", lambda *a: whole(*a).filter("bucket % 2 = 0"))
+    with pytest.raises(ValueError, match="500"):
+        plan_table.plan_table(df, "key", "value", 51)
+
+
 def test_dominant_core(spark):
     df = spark.createDataFrame([(7 if i % 10 else 1000 + i, i) for i in range(3000)], "key long, value long")
     cfg = Config(core_divisor=100)
+    assert heavy.dominant_core(df, "key", cfg=Config(core=False)) is None
     assert heavy.dominant_core(df, "key", cfg=cfg)["n"] == 2700
     got = {r.value: r.out_pos for r in heavy.dominant_core_sort(df, "key", "value", cfg=cfg).collect()}
     assert got == expected([(r.key, r.value) for r in df.collect()], True)
