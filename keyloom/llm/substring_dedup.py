@@ -1,14 +1,19 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
-Suffixes are the windows of 13 words from each word on. A group is named by the window's
-rarest-looking prefix gram, the 7-gram with the least hash among those that begin in it (a
-minimiser), so that the overlapping suffixes of a passage go to one group and its words are
-sent once. Groups whose gram begins in one document only can't hold a repeat; a first pass
-that sends a hash and a doc_id a gram leaves them out. What is left is dealt out by gram into
-parts of bounded memory. In a part the suffixes are sorted, the sorted suffixes and the
-lengths of their common prefixes being the suffix tree in array form; a group too large for
-one step is split by longer prefixes (a further word each time). Internal nodes 13 or more
-words deep are repeats; a leaf whose node also holds a smaller doc_id is removed.
+The trees are sparse: of the suffixes of a text they hold those that begin at a sample, the
+place of the 7-gram with the least hash in some window of 13 words, so that a passage is
+sampled alike wherever it stands. A sampled suffix is dealt out by its prefix, the gram, and
+carries its words up to the ends of the windows around it and the up to 6 words before it.
+Grams that begin in one document only can't hold a repeat; a first pass that sends a hash
+and a doc_id a gram leaves them out, and counts the others. Prefixes are of variable length:
+where a gram begins too many suffixes for one task, it is lengthened to all the words of
+each window around it, so its suffixes spread over many tasks.
+
+A task works on some prefixes at a time: it sorts their suffixes, and the lengths of the
+common prefixes of neighbours are the internal nodes of the subtree. With the common words
+before them, a node and its samples are a maximal repeat (left extension and depth); it holds
+every window that begins o words before the sample if the node is 13 - o or more deep and o
+words before agree. Of such windows all but those of the smallest document are removed.
 
 Hot passages: each task keeps, of equal segments, the one of the smallest document and
 settles the others itself, so a passage arrives at its part once a task at most.
@@ -22,14 +27,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.grams import Words, batches
-from keyloom.llm.storage import materialize, partitions
+from keyloom.llm.grams import Words, batches, mix
+from keyloom.llm.storage import discard, materialize, partitions
 
 WINDOW, GRAM = 13, 7
 #: Segments that a task gathers before it sends them on.
 HELD = 1 << 16
-#: Suffixes that are sorted in one step; larger groups are split by longer prefixes first.
-STEP = 1 << 20
+#: Suffixes that are sorted in one step, and occurrences beyond which a gram is lengthened.
+STEP, HOT = 1 << 19, 1 << 15
+#: Most grams that are lengthened (8 bytes each, broadcast): those of the most occurrences.
+LONGER = 1 << 20
 
 
 def minimisers(w: Words, window: int, gram: int):
@@ -123,11 +130,14 @@ def gathered(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
             js = range(k, min(k + 4096, len(first)))
             yield pa.record_batch([pa.array(doc[first[k : k + 4096]]), pa.array(key[first[k : k + 4096]]), *(pa.array([x[edges[j] : edges[j + 1]].tobytes() for j in js], pa.binary()) for x in data)], names=["doc_id", "key", *columns])
 
-    return rows.repartition(parts, "part").mapInArrow(run, f"doc_id long, key long, {', '.join(f'{c} binary' for c in columns)}")
+    return rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, f"doc_id long, key long, {', '.join(f'{c} binary' for c in columns)}")
 
 
 def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """doc_id and grams (their hashes, packed) that begin in two or more documents."""
+    """Rows of to_documents() with grams (their hashes) that begin in two or more documents.
+
+    Rows without docs have `grams` that occur more than HOT times, and how often in `many`.
+    """
     names = ["part", "docs", "keys", "counts", "grams", "many"]
 
     def ship(batches_in):
@@ -162,8 +172,10 @@ def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataF
             edges = np.searchsorted(pp, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges))
             blob = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())  # noqa: E731, B023
-            bits = pa.array([np.packbits(mp[edges[k] : edges[k + 1]]).tobytes() for k in some], pa.binary())
-            yield pa.record_batch([pa.array(some), blob(dp), null(len(some)), null(len(some)), blob(hp), bits], names=names)
+            times = np.diff(np.append(np.flatnonzero(first), len(h))).astype("<i4")[order]
+            small = lambda x: pa.array([squeezed(x[edges[k] : edges[k + 1]].tobytes()) for k in some], pa.binary())  # noqa: B023, E731
+            # A gram of several documents here has its count, of one document a 0.
+            yield pa.record_batch([pa.array(some), small(dp), null(len(some)), null(len(some)), blob(hp), small(np.where(mp, times, 0).astype("<i4"))], names=names)
 
     def settle(batches_in):
         import pyarrow as pa
@@ -172,74 +184,118 @@ def repeated_grams(docs: DataFrame, window: int, gram: int, parts: int) -> DataF
         for b in batches_in:
             done = b.filter(b.column("counts").is_valid())
             if done.num_rows:
-                yield done.select(names[:-1])
+                yield done
             rest = b.filter(b.column("counts").is_null())
             held += zip(*(rest.column(c).to_pylist() for c in ("grams", "docs", "many")), strict=True)
         if not held:
             return
         h = np.frombuffer(b"".join(x[0] for x in held), np.uint64)
-        d = np.frombuffer(b"".join(x[1] for x in held), np.int64)
-        m = np.concatenate([np.unpackbits(np.frombuffer(x[2], np.uint8), count=len(x[0]) // 8) for x in held]).astype(bool)
+        d = np.concatenate([np.frombuffer(expanded(x[1]), np.int64) for x in held])
+        t = np.concatenate([np.frombuffer(expanded(x[2]), "<i4") for x in held])
         order = np.argsort(h, kind="stable")
-        h, d, m = h[order], d[order], m[order]
+        h, d, t = h[order], d[order], t[order]
+        m = t > 0
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         spread = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(m, first)
         keep = np.repeat(spread, size) & ~m
-        yield pa.record_batch(to_documents(pa, parts, d[keep], np.zeros(keep.sum(), np.int64), h[keep].view(np.int64)), names=names[:-1])
+        cols = to_documents(pa, parts, d[keep], np.zeros(keep.sum(), np.int64), h[keep].view(np.int64))
+        yield pa.record_batch([*cols, pa.nulls(len(cols[0]), pa.binary())], names=names)
+        times = np.add.reduceat(np.maximum(t, 1).astype(np.int64), first)
+        hot = times > HOT
+        none = pa.nulls(1, pa.binary())
+        if hot.any():
+            yield pa.record_batch([pa.array([0]), none, none, none, pa.array([h[first[hot]].tobytes()], pa.binary()), pa.array([times[hot].tobytes()], pa.binary())], names=names)
+
+    kind = "part long, docs binary, keys binary, counts binary, grams binary, many binary"
+    return docs.mapInArrow(ship, kind).repartitionById(parts, F.col("part").cast("int")).mapInArrow(settle, kind)
+
+
+def hot_grams(found: DataFrame) -> np.ndarray:
+    """The grams that are lengthened, sorted, from the rows of repeated_grams()."""
+
+    def run(batches_in):
+        import pyarrow as pa
+
+        for b in batches_in:
+            for g, t in zip(b.column("grams").to_pylist(), b.column("many").to_pylist(), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(t, np.int64))], names=["gram", "times"])
+
+    rows = found.filter(F.col("docs").isNull()).select("grams", "many").mapInArrow(run, "gram long, times long")
+    # Which grams are lengthened only says where their suffixes are compared.
+    return np.sort(np.array([r.gram for r in rows.orderBy(F.desc("times"), "gram").limit(LONGER).collect()], np.int64).view(np.uint64))
+
 
-    kind = "part long, docs binary, keys binary, counts binary, grams binary"
-    rows = docs.mapInArrow(ship, f"{kind}, many binary")
-    found = rows.repartition(parts, "part").mapInArrow(settle, kind)
-    return gathered(found, parts, ["grams"]).select("doc_id", "grams")
+def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def sorted_nodes(codes: np.ndarray, docs: np.ndarray, depth: int, step: int = STEP) -> np.ndarray:
-    """Which suffixes (rows of codes) lie below a node `depth` deep with a smaller document.
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expanded(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    The suffixes are sorted and the common prefix of neighbours is the tree's internal nodes.
-    More than `step` suffixes are first split by their leading codes, one code more each time.
+
+def suffix_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of suffixes, rows of word codes from 0 (-1: past the end); lcp[k] is how many
+    words the k-th of the order has in common with the one before it."""
+    bits = max(1, int(words.max(initial=0) + 1).bit_length())
+    each = max(1, 63 // bits)
+    packed = []
+    for k in range(0, words.shape[1], each):
+        x = np.zeros(len(words), np.int64)
+        for c in words[:, k : k + each].T:
+            x = x << bits | (c.astype(np.int64) + 1)
+        packed.append(x)
+    order = np.lexsort(packed[::-1])
+    w = words[order]
+    same = np.logical_and.accumulate((w[1:] == w[:-1]) & (w[1:] >= 0), axis=1).sum(axis=1)
+    return order, np.concatenate([[0], same]).astype(np.int64)[: len(words)]
+
+
+def repeats_below(words: np.ndarray, left: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """hit[k, o]: the window that begins o words before sample k also begins in a smaller document.
+
+    words: codes of the samples' suffixes; left[k, o]: a hash of the o words before; before and
+    after: words that each sample carries on either side. A node of depth window - o that the
+    order's lcp gives is split by the words before; its maximal repeats are those groups.
     """
-    out = np.zeros(len(codes), bool)
-    todo = [(np.arange(len(codes)), 0)]
-    while todo:
-        rows, prefix = todo.pop()
-        if len(rows) > step and prefix < depth:
-            order = rows[np.argsort(codes[rows, prefix], kind="stable")]
-            cut = np.flatnonzero(np.diff(codes[order, prefix])) + 1
-            groups, small = np.split(order, cut), []
-            for g in groups:
-                if len(g) > step:
-                    todo.append((g, prefix + 1))
-                else:
-                    small.append(g)
-            packs, size = [], 0
-            for g in small:
-                if size + len(g) > step and packs:
-                    todo.append((np.concatenate(packs), depth))
-                    packs, size = [], 0
-                packs.append(g)
-                size += len(g)
-            if packs:
-                todo.append((np.concatenate(packs), depth))
+    hit = np.zeros((len(words), left.shape[1]), bool)
+    if not len(words):
+        return hit
+    order, lcp = suffix_order(words)
+    for o in range(left.shape[1]):
+        node = np.cumsum(lcp < window - o)
+        k = np.flatnonzero((before[order] >= o) & (after[order] >= window - o))
+        rows, node = order[k], node[k]
+        if not len(rows):
             continue
-        c = np.ascontiguousarray(codes[rows])
-        order = np.argsort(c.view([("", c.dtype)] * c.shape[1]).ravel(), kind="stable") if len(rows) > 1 else np.arange(len(rows))
-        same = (c[order][1:] == c[order][:-1]).all(axis=1)  # the common prefix reaches `depth`
-        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(rows) else np.empty(0, int)
-        if len(first):
-            d = docs[rows[order]]
-            least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
-            out[rows[order]] = d > least
-    return out
-
-
-def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
+        by = np.lexsort((left[rows, o], node))
+        rows, node = rows[by], node[by]
+        x = left[rows, o]
+        first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (x[1:] != x[:-1])]))
+        least = np.repeat(np.minimum.reduceat(doc[rows], first), np.diff(np.append(first, len(rows))))
+        hit[rows, o] = doc[rows] > least
+    return hit
+
+
+def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int, longer: np.ndarray) -> DataFrame:
     """doc_id, key, at and bits (packed): bit k of bits tells that the window at + k is repeated.
 
-    candidates has doc_id, key, z (pack_texts) and grams (its repeated grams).
+    candidates has doc_id, key, z (pack_texts) and grams (its repeated grams); longer are the
+    grams whose windows are each dealt out by all their words.
     """
     names = ["part", "docs", "keys", "counts", "at", "bits", "lengths", "words"]
+    shared = candidates.sparkSession.sparkContext.broadcast(longer)
     kind = "part long, docs binary, keys binary, counts binary, at binary, bits binary"
 
     def ship(batches_in):
@@ -261,13 +317,16 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
                 if not len(i):
                     continue
                 p = place[i]
-                run = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1)]))
+                long = member(g[p], shared.value)
+                run = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1) | long[1:]]))
                 n = np.diff(np.append(run, len(i)))
                 a = i[run]
                 d = owner[a]
                 data = w.bytes
                 lo, hi = w.start[a].tolist(), w.end[a + n + window - 2].tolist()
-                held.append((ids[at + d], keys[at + d], a - w.first[d], n, g[p[run]], [b" ".join(data[x:y].split()) for x, y in zip(lo, hi, strict=True)]))
+                to = np.where(long[run], w.grams(window)[a] if long.any() else 0, g[p[run]])
+                # How far into its segment the sample lies is packed with the number of windows.
+                held.append((ids[at + d], keys[at + d], a - w.first[d], n | (p[run] - a) << 8, to, [b" ".join(data[x:y].split()) for x, y in zip(lo, hi, strict=True)]))
                 count += len(a)
                 if count >= HELD:
                     yield from send(pa, held)
@@ -283,7 +342,7 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
         for j in np.argsort(doc, kind="stable").tolist():
             least.setdefault(segments[j], j)
         done = doc > doc[np.array([least[s] for s in segments])]
-        cols = to_documents(pa, parts, doc[done], key[done], at[done].astype(np.int64), ((1 << n[done]) - 1).astype(np.int64))
+        cols = to_documents(pa, parts, doc[done], key[done], at[done].astype(np.int64), ((1 << (n[done] & 255)) - 1).astype(np.int64))
         yield pa.record_batch([*cols, pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.binary())], names=names)
         rest = np.flatnonzero(~done)
         part = (h[rest] % np.uint64(parts)).astype(np.int64)
@@ -292,7 +351,7 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
         rows = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             js = rest[edges[k] : edges[k + 1]]
-            rows.append((k, doc[js].tobytes(), key[js].tobytes(), None, at[js].astype(np.int64).tobytes(), None, n[js].astype(np.int64).tobytes(), b"\n".join([segments[j] for j in js])))
+            rows.append((k, squeezed(doc[js].tobytes()), key[js].tobytes(), None, squeezed(at[js].astype(np.int64).tobytes()), None, squeezed(n[js].astype(np.int64).tobytes()), squeezed(b"\n".join([segments[j] for j in js]))))
         kinds = [pa.int64(), *[pa.binary()] * 7]
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -301,7 +360,7 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
         """The words of a blob of segments, about 1 MB at a time."""
         at = 0
         while at < len(words):
-            stop = words.find(b"\n", at + (1 << 20))
+            stop = words.find(b"\n", at + (1 << 19))
             stop = len(words) if stop < 0 else stop
             yield Words([words[at:stop]])
             at = stop
@@ -318,23 +377,44 @@ def repeated_windows(candidates: DataFrame, window: int, gram: int, parts: int)
             held += zip(*(rest.column(c).to_pylist() for c in ("docs", "keys", "at", "lengths", "words")), strict=True)
         if not held:
             return
-        doc, key, at, n = (np.frombuffer(b"".join(x[k] for x in held), np.int64) for k in range(4))
-        # Word codes are ranks of 64-bit hashes, so suffixes compare by 13 codes of 4 bytes.
-        code = np.unique(np.concatenate([w.hash for x in held for w in pieces(x[4])]), return_inverse=True)[1].astype(np.int32)
+        doc, at, n = (np.concatenate([np.frombuffer(expanded(x[k]), np.int64) for x in held]) for k in (0, 2, 3))
+        key = np.frombuffer(b"".join(x[1] for x in held), np.int64)
+        words = np.concatenate([w.hash for x in held for w in pieces(expanded(x[4]))])
         del held
-        row = np.repeat(np.arange(len(n)), n)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        words = n + window - 1
-        first = np.cumsum(words) - words
-        codes = code[(first[row] + shift)[:, None] + np.arange(window)]
-        hit = sorted_nodes(codes, doc[row], window)
-        bits = np.zeros(len(n), np.int64)
-        np.bitwise_or.at(bits, row[hit], np.int64(1) << shift[hit])
+        n, sample = n & 255, n >> 8
+        first = np.cumsum(n + window - 1) - (n + window - 1)
+        begin = first + sample
+        prefix = np.zeros(len(n), np.uint64)
+        for k in range(gram):
+            prefix = mix(prefix + words[begin + k])
+        # Some prefixes at a time: none lies in two steps.
+        order = np.argsort(prefix, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], prefix[order][1:] != prefix[order][:-1]]))
+        edges = [0]
+        for c in [*cuts[1:].tolist(), len(order)]:
+            if c - edges[-1] >= STEP or c == len(order):
+                edges.append(c)
+        # A sample lies at most window - gram words into a window that holds its gram.
+        most, bits = window - gram + 1, np.zeros(len(n), np.int64)
+        for x, y in zip(edges, edges[1:]):
+            rows = order[x:y]
+            before, after = sample[rows], n[rows] + window - 1 - sample[rows]
+            place = begin[rows][:, None] + np.arange(window)
+            # Word codes are ranks of 64-bit hashes.
+            code = np.unique(words[np.minimum(place, len(words) - 1)], return_inverse=True)[1].reshape(place.shape).astype(np.int32)
+            code[np.arange(window) >= after[:, None]] = -1
+            left = np.zeros((len(rows), most), np.uint64)
+            for o in range(1, most):
+                left[:, o] = mix(left[:, o - 1] + words[np.maximum(begin[rows] - o, 0)])
+            hit = repeats_below(code, left, before, after, doc[rows], window)
+            for o in range(most):
+                some = hit[:, o] & (before >= o) & (before - o < n[rows])
+                bits[rows[some]] |= np.int64(1) << (before[some] - o)
         some = bits != 0
         yield pa.record_batch(to_documents(pa, parts, doc[some], key[some], at[some], bits[some]), names=names[:6])
 
     rows = candidates.mapInArrow(ship, f"{kind}, lengths binary, words binary")
-    found = rows.repartition(parts, "part").mapInArrow(settle, kind)
+    found = rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(settle, kind)
     return gathered(found, parts, ["at", "bits"])
 
 
@@ -353,9 +433,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = buckets(spark, size)
-    grams = repeated_grams(rows.filter(F.col("doc_id").isNotNull()), window, gram, parts)
+    found = materialize(repeated_grams(rows.filter(F.col("doc_id").isNotNull()), window, gram, parts), "grams")
+    longer = hot_grams(found)
+    grams = gathered(found.filter(F.col("docs").isNotNull()).drop("many"), parts, ["grams"]).select("doc_id", "grams")
     candidates = materialize(pack_texts(rows).join(grams, "doc_id"), "candidates")
-    places = materialize(repeated_windows(candidates, window, gram, parts), "places")
+    places = materialize(repeated_windows(candidates, window, gram, parts, longer), "places")
+    discard(found)
 
     def shorten(batches_in):
         import pyarrow as pa

@@ -18,7 +18,7 @@ from keyloom.llm.ngram_join import shingle_sets, similar_components
 from keyloom.llm.packing import pack
 from keyloom.llm.sharding import capacities, read_shards, reshard, slots
 from keyloom.llm.storage import scratch
-from keyloom.llm.substring_dedup import remove_repeats, sorted_nodes
+from keyloom.llm.substring_dedup import remove_repeats, suffix_order
 from keyloom.llm.token_files import TokenFile, read_documents, read_manifest, write_token_files
 from keyloom.llm.tokens import Encoder
 from keyloom.llm.warc import read_warc, write_warc
@@ -366,7 +366,7 @@ def brute_repeats(rows, window=13):
 def test_substring_dedup(spark, odd, empty):
     shared = prose(40)
     more = spark.createDataFrame([(k, f"{prose(R.randint(0, 30))} {shared} {prose(R.randint(0, 30))}") for k in range(300, 330)], "doc_id long, text string")
-    df = odd.select("doc_id", "text").unionByName(more)
+    df = odd.unionByName(more, allowMissingColumns=True)
     got = remove_repeats(df)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == brute_repeats(rows_of(df))
     cut = got.filter("n_removed > 0").first()
@@ -375,15 +375,39 @@ def test_substring_dedup(spark, odd, empty):
     assert remove_repeats(empty).count() == 0
 
 
-def test_large_groups_are_split_by_longer_prefixes():
-    codes = np.random.default_rng(0).integers(0, 2, (500, 13)).astype(np.int32)
-    docs = np.arange(500)
-    least = {}
-    for c, d in zip(codes.tolist(), docs):
-        least.setdefault(tuple(c), d)
-    want = [d > least[tuple(c)] for c, d in zip(codes.tolist(), docs)]
-    for step in (7, 100, 1 << 20):
-        assert sorted_nodes(codes, docs, 13, step).tolist() == want
+@pytest.mark.parametrize("step", [1, 50, 1 << 19])
+def test_common_grams_are_lengthened_and_split(spark, monkeypatch, step):
+    """A 7-gram in many contexts: its suffixes go to many parts, results stay those of brute force."""
+    import keyloom.llm.substring_dedup as m
+
+    hot = "the very same seven words come again"
+    # Ids that make the words differ; every passage stands in three documents.
+    ctx = [" ".join(f"c{(k * 7 + j) % 997}x{k}" for j in range(12)) for k in range(250)]
+    rows = [(3 * k + j, f"{prose(8)} {ctx[k]} {hot} {ctx[-k]} {prose(8)}") for k in range(250) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(m, "HOT", 100)
+    monkeypatch.setattr(m, "STEP", step)
+    seen = []
+    hot_grams = m.hot_grams
+    monkeypatch.setattr(m, "hot_grams", lambda found: seen.append(hot_grams(found)) or seen[-1])
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect()), key=repr)
+    assert got == brute_repeats(rows)
+    assert len(seen[0])
+
+
+def test_suffix_order_and_nodes():
+    words = np.random.default_rng(0).integers(0, 3, (400, 9)).astype(np.int32)
+    words[:, 6:][np.random.default_rng(1).random((400, 3)) < 0.3] = -1
+    order, lcp = suffix_order(words)
+    rows = [tuple(r) for r in words.tolist()]
+    assert [rows[k] for k in order] == sorted(rows)
+    for k in range(1, 400):
+        a, b = rows[order[k - 1]], rows[order[k]]
+        n = next((j for j in range(9) if a[j] != b[j] or a[j] < 0), 9)
+        assert lcp[k] == n
+    assert [len(x) for x in suffix_order(np.empty((0, 9), np.int32))] == [0, 0]
+    big = np.array([[1 << 30, 2], [1 << 30, 1], [0, 5]], np.int32)
+    assert suffix_order(big)[0].tolist() == [2, 1, 0]
 
 
 def brute_matches(text, items, window=10):
