@@ -38,17 +38,24 @@ def order_scan(df: DataFrame, key: str, pos: str, unsigned: bool = True, by: tup
 
 
 def ranked(rows: DataFrame, groups: list[str], pos: str, slice_bits: int = SLICE_BITS) -> DataFrame:
-    """rows with `rank`, from 0, along pos in each group: counts of slices of positions, and ranks inside.
+    """rows with `rank`, from 0, along pos in each group, the group's size group_n and its start group_start.
 
-    However many rows a group has, no task ranks more than a slice.
+    Groups follow each other in the order of their columns, which are never null. Ranks come
+    from counts of slices of positions, and ranks inside: however many rows a group has, no
+    task ranks more than a slice.
     """
     rows = rows.withColumn("__slice", F.shiftright(pos, slice_bits))
     counts = rows.groupBy(*groups, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    along = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*groups, "__slice", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    along = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    parts = counts.select(*groups, "__slice", before(along.orderBy("__slice")).alias("__before"))
+    if groups:
+        sizes = counts.groupBy(*groups).agg(F.sum("__n").alias("__n"))
+        starts = sizes.select(*groups, F.col("__n").alias("group_n"), before(Window.partitionBy(F.lit(0)).orderBy(*groups)).alias("group_start"))
+        parts = parts.join(starts, groups)
     inside = F.row_number().over(Window.partitionBy(*groups, "__slice").orderBy(pos))
-    # Group columns are never null here.
-    return rows.withColumn("__in", inside).join(before, [*groups, "__slice"]).withColumn("rank", (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__slice", "__in", "__before")
+    ranked = rows.withColumn("__in", inside).join(parts, [*groups, "__slice"]).withColumn("rank", (F.col("__before") + F.col("__in") - 1).cast("long"))
+    return ranked.drop("__slice", "__in", "__before")
 
 
 def order_probe(df: DataFrame, key: str, pos: str, n: int, unsigned: bool = True, head: int = 2048, samples: int = 1024) -> DataFrame:

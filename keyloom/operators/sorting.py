@@ -119,13 +119,13 @@ def dispatch_sort(df: DataFrame, key: str, pos: str, shift: int, unsigned: bool
     rows = df.filter(F.col(key).isNotNull()).withColumn("bucket", u64.digit(view, shift, cfg.msd_bits)).join(steps, "bucket")
     zero = F.lit(0).cast("long")
     turned, counted = (F.col("route") == "reverse") & F.col("falling"), F.col("route") == "tuple-direct"
-    # The vbm of one bucket is one mask, so counted values order its rows as their keys do.
-    values = F.when(counted, u64.compress_by(view, F.col("__vbm"))).otherwise(zero)
+    # A bucket has one mask, under which its keys have the order of their packed bits.
+    values = view.bitwiseAND(F.col("__vbm"))
     child = F.when(F.col("local_shift") >= 0, F.call_function("shiftrightunsigned", view, F.greatest("local_shift", F.lit(0))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("local_bits")) - 1)).otherwise(zero)
     rows = rows.withColumns({"__value": F.when(counted, values).otherwise(child), "__by": F.when((F.col("route") == "done") | turned | counted, F.lit(True)).otherwise(F.lit(False))})
     groups = ["bucket", "__value"]
     starts = _starts(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("bucket_n")), groups)
-    along = ranked(rows.filter("__by"), groups, pos)
+    along = ranked(rows.filter("__by"), groups, pos).drop("group_n", "group_start")
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(u64.ordered(F.col(key), unsigned), F.col(pos))) - 1
     sorted_rows = rows.filter(~F.col("__by")).withColumn("rank", rank.cast("long"))
     out = along.unionByName(sorted_rows.select(along.columns)).join(starts, groups)
@@ -141,16 +141,13 @@ def reverse_positions(df: DataFrame, pos: str, n: int) -> DataFrame:
 def bucket_reverse_positions(df: DataFrame, bucket: Column, pos: str) -> DataFrame:
     """Every bucket's rows in reverse: its start, plus its size less one, less the row's place."""
     rows = ranked(df.withColumn("bucket", bucket), ["bucket"], pos)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_n"))
-    place = sizes.join(_starts(sizes, ["bucket"]), "bucket")
-    return rows.join(place, "bucket").withColumn("out_pos", (F.col("bucket_start") + F.col("bucket_n") - 1 - F.col("rank")).cast("long")).drop("rank", "bucket_start", "bucket_n")
+    return rows.withColumn("out_pos", (F.col("group_start") + F.col("group_n") - 1 - F.col("rank")).cast("long")).drop("rank", "group_start", "group_n")
 
 
 def tuple_counting_sort(df: DataFrame, key: str, pos: str, mask: int) -> DataFrame:
     """Counting sort by the bits of mask, stable by position: tuple_index and out_pos."""
     rows = ranked(df.withColumn("tuple_index", u64.compress(F.col(key), mask)), ["tuple_index"], pos)
-    starts = _starts(rows.groupBy("tuple_index").agg(F.count(F.lit(1)).alias("bucket_n")), ["tuple_index"])
-    return rows.join(starts, "tuple_index").withColumn("out_pos", (F.col("bucket_start") + F.col("rank")).cast("long")).drop("rank", "bucket_start")
+    return rows.withColumn("out_pos", (F.col("group_start") + F.col("rank")).cast("long")).drop("rank", "group_start", "group_n")
 
 
 def order_shortcut(df: DataFrame, key: str, pos: str, unsigned: bool = True) -> str | None:
