@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
 from keyloom.llm.grams import SPACE, Words, batches, mix
-from keyloom.llm.storage import discard, keyed, materialize, partitions
+from keyloom.llm.storage import discard, discard_part, keyed, materialize, partitions
 
 N, PERCENT = 4, 85
 #: Least 64-bit words of a bitmap; members, and shingles of all members, of a tile; counters of the sketch.
@@ -230,7 +230,7 @@ def prefix_groups(shipped: DataFrame, percent: int, parts: int) -> DataFrame:
         if seen:
             yield rows()
 
-    rows = shipped.filter(F.col("part").isNotNull()).select("part", "tokens", "owners", "sizes")
+    rows = shipped.filter("prefix").select("part", "tokens", "owners", "sizes")
     found = rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(group, "key binary, members array<long>")
     return found.groupBy("key").agg(F.first("members").alias("members"))
 
@@ -436,8 +436,9 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(partitions(spark), size // (64 << 20))
-    shipped = materialize(shipped_shingles(rows, n, percent, parts), "shingles")
-    known = shipped.filter(F.col("part").isNull()).select("doc_id", "text_hash", "name", "n", "bitmap")
+    sent = shipped_shingles(rows, n, percent, parts)
+    shipped = materialize(sent.withColumn("prefix", F.col("part").isNotNull()), "shingles", "prefix")
+    known = shipped.filter("NOT prefix").select("doc_id", "text_hash", "name", "n", "bitmap")
     # A node's text is read from its row of the smallest doc_id.
     place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = known.filter(F.col("name").isNotNull()).groupBy("name").agg(place.alias("at"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
@@ -461,6 +462,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT, tile
         return [(names[k], names[r]) for k, r in enumerate(root.tolist()) if k != r]
 
     each = materialize(groups.select("key", F.ceil(F.size("members") / tile).cast("long").alias("k"), F.explode("members").alias("name")), "members")
+    discard_part(shipped, "prefix=true")
     large = not each.filter("k > 1").isEmpty()
     places = linked(each.join(nodes.select("name", "n", "bitmap"), "name"), "bitmap", allowed, large, parts, percent, tile)
 

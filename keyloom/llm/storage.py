@@ -35,11 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/keyloom/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in folders of the column `by`, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out
@@ -72,6 +73,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_part(df: DataFrame, folder: str) -> None:
+    """Delete one folder of a frame that was materialized by a column; nothing may read it after."""
+    remove(df.sparkSession, f"{_written[df]}/{folder}")
+
+
 def sweep(spark: SparkSession, path: str) -> None:
     """Delete the temporary files (names that begin with .part-) that lost tasks left in a folder."""
     glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.part-*")
