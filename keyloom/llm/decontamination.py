@@ -63,7 +63,11 @@ def blocks(items: DataFrame, most: int = BLOCK):
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index of docs (doc_id, text), as in INDEX; lists are in the order of terms."""
+    """The stored index of docs (doc_id, text), as in INDEX; lists are in the order of terms.
+
+    A segment is numbered by its first text: 33 bits count the texts of a task, the rest the
+    tasks, so segment + place is a number of each text that has room for any table.
+    """
 
     def run(parts):
         import pyarrow as pa
@@ -83,7 +87,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             lists = place[order].astype("<i8" if len(place) and place[-1] > 1 << 31 else "<i4")
             blob = lambda x: pa.array([x.tobytes()], pa.binary())
             cols = [pa.array([number]), pa.array([np.concatenate(ids).tolist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), blob(terms), blob(counts.astype("<i4")), blob(lists)]
-            number, ids, lengths, hashes, size = number + 1, [], [], [], 0
+            number, ids, lengths, hashes, size = number + len(n), [], [], [], 0
             return pa.record_batch(cols, names=[x.split()[0] for x in INDEX.split(", ")])
 
         for b in parts:
@@ -231,7 +235,7 @@ def search(index: DataFrame, queries: Queries, near: int = 0) -> DataFrame:
                 listed = lambda owner, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)), values)  # noqa: B023, E731
                 for at in range(0, len(n), 4096):
                     m = min(4096, len(n) - at)
-                    cols = [pa.array((row["segment"].as_py() << 24) + np.arange(at, at + m)), row["doc_ids"].values.slice(at, m), pa.array(n[at : at + m]), listed(doc, spans).slice(at, m), listed(pair[0], pa.array(queries.items[pair[1]])).slice(at, m)]
+                    cols = [pa.array(row["segment"].as_py() + np.arange(at, at + m)), row["doc_ids"].values.slice(at, m), pa.array(n[at : at + m]), listed(doc, spans).slice(at, m), listed(pair[0], pa.array(queries.items[pair[1]])).slice(at, m)]
                     yield pa.record_batch(cols, names=["row", "doc_id", "n_words", "spans", "items"])
 
     return index.mapInArrow(run, MATCHES)

@@ -453,6 +453,18 @@ def test_decontamination(spark, odd, empty, block):
         assert {r.doc_id: len(r.spans) for r in near.collect()} == {1: 1, 2: 0}
 
 
+def test_decontamination_of_many_partitions(spark):
+    """Texts are numbered apart whatever the number of tasks, over one block of items and over several."""
+    item = prose(14)
+    df = spark.range(0, 600, 1, 150).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, F.lit(f"x {item} y")).otherwise(F.lit("fine words here")).alias("text"))
+    tests = spark.createDataFrame([(1, item), (2, "fine words")], "item_id long, text string")
+    for block in (1 << 24, 10):
+        got = contamination(df, tests, block=block).collect()
+        assert len({r.row for r in got}) == 600
+        assert sorted((r.doc_id, r["items"]) for r in got) == [(i, [2 - (i % 7 == 0)]) for i in range(600)]
+    assert sorted(r.doc_id for r in decontaminate(df, tests.limit(1)).collect()) == [i for i in range(600) if i % 7]
+
+
 def test_warc(spark, empty):
     rows = [(1, "http://a/x y", "<p>é"), (2, None, "<p>é"), (3, "u\r\nv", ""), (4, "u", None), (None, "u", "<p>é"), (5, "b", "long" * 10000), (6, "c", "solo"), (6, "c", "solo")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string")
