@@ -35,11 +35,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/keyloom/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+#: Options of materialize() for rows of several MB: their sizes are looked at after each row, not
+#: after the first hundred, so that neither writer nor reader ever holds more than a few of them.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df to the shared folder, with options of the writer, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

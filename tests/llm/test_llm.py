@@ -465,6 +465,26 @@ def test_decontamination_of_many_partitions(spark):
     assert sorted(r.doc_id for r in decontaminate(df, tests.limit(1)).collect()) == [i for i in range(600) if i % 7]
 
 
+def test_decontamination_memory(spark, monkeypatch):
+    """Row groups of the index hold a few segments, clean rows are not shuffled, and many hits are left out as well."""
+    import pyarrow.parquet as pq
+
+    import keyloom.llm.decontamination as m
+
+    item = prose(14)
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda k: F.concat(F.lit("v"), F.xxhash64("id", k).cast("string"))), " ")
+    df = spark.range(0, 120, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, F.lit(f"x {item} y")).otherwise(words).alias("text"))
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    file = pq.ParquetFile(m.build_index(df).inputFiles()[0].removeprefix("file://")).metadata
+    assert file.num_rows >= 5 and all(file.row_group(k).num_rows <= 3 for k in range(file.num_row_groups))
+    clean = decontaminate(df, tests)
+    assert "Exchange hashpartitioning" not in clean._jdf.queryExecution().executedPlan().toString()
+    want = [i for i in range(120) if i % 7]
+    assert sorted(r.doc_id for r in clean.select("doc_id").collect()) == want
+    monkeypatch.setattr(m, "SMALL", 0)
+    assert sorted(r.doc_id for r in decontaminate(df, tests).select("doc_id").collect()) == want
+
+
 def test_warc(spark, empty):
     rows = [(1, "http://a/x y", "<p>é"), (2, None, "<p>é"), (3, "u\r\nv", ""), (4, "u", None), (None, "u", "<p>é"), (5, "b", "long" * 10000), (6, "c", "solo"), (6, "c", "solo")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string")
