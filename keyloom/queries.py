@@ -70,9 +70,9 @@ def plan_mask(s, d):
 
 
 def order_scan_global(s, d):
-    e, o = _events(s, d, "event_id"), _down(s, d)
-    e, o = e.select("event_id", F.col("key")), o
-    return order.order_scan(e, "key", "event_id").withColumn("input", F.lit("events")).unionByName(order.order_scan(o, "key", "o_orderkey").withColumn("input", F.lit("orders"))).unionByName(order.order_scan(_events(s, d), "key", "event_id").withColumn("input", F.lit("users")))
+    """Order of signed keys: those of orders beyond 2^20 are below 0."""
+    scan = lambda df, pos, name: order.order_scan(df, "key", pos, unsigned=False).withColumn("input", F.lit(name))
+    return scan(_events(s, d, "event_id"), "event_id", "events").unionByName(scan(_down(s, d), "o_orderkey", "orders")).unionByName(scan(_events(s, d), "event_id", "users"))
 
 
 def order_scan_bucket(s, d):

@@ -26,6 +26,15 @@ def test_query_equals_duckdb(spark, oracle, name):
     assert same(K.queries()[name](spark, DIR), oracle(DIR).sql(K.SQL[name]))
 
 
+def test_order_scan_of_keys_that_fall_below_zero(spark, oracle, tmp_path):
+    c, name = oracle(DIR), "order_scan_global"
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    c.sql(f"COPY (SELECT * REPLACE (o_orderkey + 1048000 AS o_orderkey) FROM orders) TO '{tmp_path}/orders.parquet'")
+    out = K.queries()[name](spark, str(tmp_path))
+    assert same(out, oracle(tmp_path).sql(K.SQL[name]))
+    assert out.filter("input = 'orders'").first().order_class == "DESCENDING"
+
+
 def mix64(x):
     x = (x + u64.GOLDEN) & M
     x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M
